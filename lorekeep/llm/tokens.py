@@ -20,6 +20,7 @@ their text; extra columns are ignored; an empty table gives an empty store.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -33,25 +34,24 @@ from .common import staged, text_or_empty
 
 #: Ids per word for selectors 1 to 14; widths are 60 // count.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
-MAGIC, VERSION, BLOCK, FILE_IDS = b"LKS8", 1, 4096, 1 << 18
+MAGIC, VERSION, BLOCK, FILE_IDS, SIDE = b"LKS8", 1, 1024, 1 << 20, 1024
 _HEAD = np.dtype([("magic", "S4"), ("version", "<u4"), ("ids", "<u8"), ("docs", "<u8"), ("block", "<u4"), ("blocks", "<u4")])
 
 
-def _best_selectors(ids: np.ndarray) -> np.ndarray:
-    """For every place the selector of most ids that fit there; ids beyond the end count as zero."""
-    n = len(ids)
-    bits = np.zeros(n + 60, np.uint8)
-    bits[:n] = np.frexp(ids.astype(np.float64))[1]
+def _best_selectors(grid: np.ndarray) -> np.ndarray:
+    """For every place of every row the selector of most ids that fit there; the last 60 places are padding."""
+    n = grid.shape[1] - 60
+    bits = np.frexp(grid.astype(np.float64))[1].astype(np.uint8)
     peak = {1: bits}
     for w in (2, 4, 8, 16, 32):
         half = peak[w // 2]
-        peak[w] = np.maximum(half[: len(half) - w // 2], half[w // 2 :])
-    best = np.zeros(n, np.uint8)
+        peak[w] = np.maximum(half[:, : half.shape[1] - w // 2], half[:, w // 2 :])
+    best = np.zeros((len(grid), n), np.uint8)
     for sel in range(len(COUNTS), 0, -1):
         c = COUNTS[sel - 1]
         p = 1 << (c.bit_length() - 1)
-        most = np.maximum(peak[p][:n], peak[p][c - p : c - p + n])
-        best[most <= 60 // c] = sel
+        most = np.maximum(peak[p][:, :n], peak[p][:, c - p : c - p + n])
+        np.copyto(best, np.uint8(sel), where=most <= 60 // c)
     return best
 
 
@@ -60,15 +60,15 @@ def encode_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.nd
     ids = np.ascontiguousarray(ids, np.uint64)
     n_blocks = -(-len(ids) // block)
     parts, n_words, n_escapes = [], np.zeros(n_blocks, np.uint32), np.zeros(n_blocks, np.uint32)
-    for b0 in range(0, n_blocks, 64):  # 64 blocks advance side by side
-        some = ids[b0 * block : (b0 + 64) * block]
+    for b0 in range(0, n_blocks, SIDE):  # so many blocks advance side by side
+        some = ids[b0 * block : (b0 + SIDE) * block]
         k = -(-len(some) // block)
         grid = np.zeros((k, block + 60), np.uint64)
-        for i in range(k):
-            piece = some[i * block : (i + 1) * block]
-            grid[i, : len(piece)] = piece
+        whole = len(some) // block
+        grid[:whole, :block] = some[: whole * block].reshape(whole, block)
+        grid[whole:, : len(some) - whole * block] = some[whole * block :]
         size = np.minimum(block, len(some) - np.arange(k) * block)
-        best = np.stack([_best_selectors(row) for row in grid])
+        best = _best_selectors(grid)
         step = np.array((1, *COUNTS), np.int64)
         at, live, starts = np.zeros(k, np.int64), np.arange(k), []
         while len(live):
@@ -77,15 +77,17 @@ def encode_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.nd
             at[live] += step[sel]
             live = live[at[live] < size[live]]
         row, pos, sel = np.concatenate(starts, axis=1)
-        order = np.lexsort((pos, row))
+        order = np.argsort(row.astype(np.uint16), kind="stable")  # places of a row came in order
         row, pos, sel = row[order], pos[order], sel[order]
         words = sel.astype(np.uint64) << np.uint64(60)
+        cells, flat = grid.reshape(-1), row * grid.shape[1] + pos
         for s in range(1, len(COUNTS) + 1):
             hit = np.nonzero(sel == s)[0]
             if len(hit):
-                c = COUNTS[s - 1]
-                shift = (np.arange(c) * (60 // c)).astype(np.uint64)
-                words[hit] |= np.bitwise_or.reduce(grid[row[hit, None], pos[hit, None] + np.arange(c)] << shift, axis=1)
+                c, base, word = COUNTS[s - 1], flat[hit], words[hit]
+                for lane in range(c):
+                    word |= cells[base + lane] << np.uint64(lane * (60 // c))
+                words[hit] = word
         cut = np.searchsorted(row, np.arange(k + 1))
         for i in range(k):
             mine = slice(cut[i], cut[i + 1])
@@ -114,17 +116,10 @@ def decode_words(data: np.ndarray, n_words: np.ndarray, n_escapes: np.ndarray, n
     held[-1] = n_ids - block * (len(n_words) - 1)
     count[last] -= total - held  # a block's last word may be padded
     to = np.cumsum(count) - count
-    out = np.empty(n_ids, np.uint64)
+    width = np.array((0, *(60 // c for c in COUNTS)), np.uint64)[sel]
+    shift = (np.arange(n_ids) - np.repeat(to, count)).astype(np.uint64) * np.repeat(width, count)
+    out = (np.repeat(words, count) >> shift) & np.repeat((np.uint64(1) << width) - np.uint64(1), count)
     out[to[sel == 0]] = escapes
-    for s in range(1, len(COUNTS) + 1):
-        hit = np.nonzero(sel == s)[0]
-        if len(hit):
-            c = COUNTS[s - 1]
-            w = 60 // c
-            lane = np.arange(c)
-            got = (words[hit, None] >> (lane * w).astype(np.uint64)) & np.uint64((1 << w) - 1)
-            real = lane < count[hit, None]
-            out[(to[hit, None] + lane)[real]] = got[real]
     return out
 
 
@@ -176,33 +171,123 @@ class WordEncoder:
 
     Valid where no token spans ASCII white space and white space makes no
     tokens, as with a tokenizer that drops it: then a text's ids are those of
-    its pieces between white space, and each distinct piece is encoded once per
-    worker. The memory of pieces is emptied at ``most`` entries.
+    its pieces between white space, and each distinct piece is encoded once.
+    Pieces of letters are encoded many at a time and cut apart at the tokens
+    that end a word; all others, one by one. Two generations of pieces are
+    remembered, of ``most`` entries each.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.nonzero(self.ends[ids])[0] + 1) * 4
+            if len(ends) != len(some):  # a letter whose lower case is no letter alone
+                out += self._ids(some)
+                continue
+            raw, cuts = ids.tobytes(), ends.tolist()
+            out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, older = self.known, self.older
+        parts, letters, others = [], set(), set()
+        for w in words:
+            if (v := older.get(w)) is not None:
+                known[w] = v
+                continue
+            low = w.lower() if w.isascii() else w
+            core = low.rstrip(b".,;:!?")
+            if self.ends is not None and (core.isalpha() or not core.isascii() and core.decode("utf-8").isalpha()):
+                tail = low[len(core) :]
+                parts.append((w, core, tail))
+                if core not in known:
+                    letters.add(core)
+                if tail and tail not in known:
+                    others.add(tail)
+            else:
+                others.add(w)
+        ordered, rest = sorted(letters), list(others)
+        known.update(zip(ordered, self._letters(ordered), strict=True))
+        known.update(zip(rest, self._ids(rest), strict=True))
+        for w, core, tail in parts:
+            known[w] = known[core] + known[tail] if tail else known[core]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """(ids of all texts, ids per text). Equal pieces of a batch are found by two 64-bit hashes."""
+        raws = [t.encode("utf-8", "replace") for t in texts]
+        raw = b" ".join((b"", *raws, b""))
+        data = np.frombuffer(raw, np.uint8)
+        blank = _BLANK[data]
+        edge = np.diff(blank.view(np.int8))
+        start, stop = np.nonzero(edge == -1)[0] + 1, np.nonzero(edge == 1)[0] + 1
+        one, two = (_piece_hashes(data, start, stop, k) for k in range(2))
+        _, first, which = np.unique(one, return_index=True, return_inverse=True)
+        if not np.array_equal(two, two[first][which]):
+            raise ArithmeticError("two pieces share a hash")
+        pieces = [raw[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
         if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+            self.known, self.older = {}, self.known
+        missing = set(pieces).difference(self.known)
+        if missing:
+            self._learn(missing)
+        values = list(map(self.known.__getitem__, pieces))
+        own = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        flat, before = np.frombuffer(b"".join(values), "<u4"), np.cumsum(own) - own
+        n = own[which]
+        ends = np.cumsum(n)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(before[which] - (ends - n), n)]
+        bounds = np.searchsorted(start, np.cumsum([1 + len(r) for r in raws]))
+        upto = np.concatenate(([0], ends))[bounds]
+        return ids, np.diff(np.concatenate(([0], upto))).tolist()
+
+
+_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_MULTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_inverse: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _piece_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial hashes of pieces from one running sum, brought to a common power by the inverse."""
+    if len(_powers[k]) < len(data) + 1:
+        n = 1 << len(data).bit_length()
+        base = np.full(n, _MULTS[k], np.uint64)
+        back = np.full(n, pow(_MULTS[k], -1, 1 << 64), np.uint64)
+        base[0] = back[0] = 1
+        _powers[k], _inverse[k] = np.multiply.accumulate(base), np.multiply.accumulate(back)
+    code = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_MULTS[1 - k])
+    code ^= code >> np.uint64(31)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code[data] * _powers[k][: len(data)], dtype=np.uint64)))
+    h = (total[stop] - total[start]) * _inverse[k][start] + (stop - start).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, file_ids: int = FILE_IDS, batch: int = 256) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, file_ids: int = FILE_IDS, batch: int = 512) -> DataFrame:
     """The staged store of all documents (doc_id, text), in ascending doc_id order.
 
     The tokenizer file must be one that drops white space (see WordEncoder).
@@ -211,12 +296,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, file_ids: in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoders.setdefault(tokenizer_path, None) or WordEncoder(tokenizer_path)
         _encoders[tokenizer_path] = encoder
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         part, chunk, first, held, names, lengths = None, 0, 0, [], [], []
 
         def flush():
             nonlocal chunk, first, held, names, lengths
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             row = pd.DataFrame({"part": [part], "chunk": [chunk], "first": [first], "n_ids": [len(ids)], "payload": [encode_file(names, lengths, ids)]})
             chunk, first, held, names, lengths = chunk + 1, first + len(ids), [], [], []
             return row
@@ -226,12 +311,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, file_ids: in
             part = int(pdf.part.iloc[0])
             for at in range(0, len(pdf), batch):
                 some = pdf.iloc[at : at + batch]
-                for d, got in zip(some.doc_id, encoder.encode(list(some.text)), strict=True):
-                    got += end
-                    held.append(got)
+                got, counts = encoder.encode(list(some.text))
+                upto = np.cumsum(counts).tolist()
+                for d, n, stop in zip(some.doc_id, counts, upto, strict=True):
+                    held += (got[stop - n : stop], end)
                     names.append(None if pd.isna(d) else int(d))
-                    lengths.append(len(got) // 4)
-                    size += len(got) // 4
+                    lengths.append(n + 1)
+                    size += n + 1
                     if size >= file_ids:
                         yield flush()
                         size = 0
