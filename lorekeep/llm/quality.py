@@ -44,8 +44,8 @@ def count_ascii(text: Column, chars: str) -> Column:
     return total.cast("long")
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+def n_words(ws: Column) -> Column:
+    return F.size(ws).cast("long")
 
 
 def word_chars(text: Column) -> Column:
@@ -64,7 +64,7 @@ def n_dup_lines(text: Column) -> Column:
     return let(_lines(text), lambda ls: (F.size(ls) - F.size(F.array_distinct(ls)))).cast("long")
 
 
-def n_repeat_words(text: Column, width: int = 5) -> Column:
+def n_repeat_words(ws: Column, width: int = 5) -> Column:
     """Words in windows of ``width`` words that occur twice or more in the text.
 
     Windows are compared by a 64-bit hash of their words. Texts without a
@@ -86,25 +86,25 @@ def n_repeat_words(text: Column, width: int = 5) -> Column:
     def hashes(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
 
-    return let(words(text), lambda w: F.when(F.size(w) <= width, F.lit(0)).otherwise(let(hashes(w), repeated))).cast("long")
+    return F.when(F.size(ws) <= width, F.lit(0)).otherwise(let(hashes(ws), repeated)).cast("long")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` maps a (never null) text column to a boolean column."""
+    """``rejects`` maps a (never null) text and its words to a boolean column."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[Column, Column], Column]
 
 
 #: The first two are the base rules; the limits of the others lie far from running prose.
 RULES: tuple[Rule, ...] = (
-    Rule("few_words", lambda t: n_words(t) < 10),
-    Rule("repeated_words", lambda t: 100 * n_repeat_words(t) > 20 * n_words(t)),
-    Rule("symbols", lambda t: 100 * n_symbols(t) > 10 * n_words(t)),
-    Rule("shouting", lambda t: 100 * F.regexp_count(t, F.lit("!!")) > 20 * n_words(t)),
-    Rule("repeated_lines", lambda t: 100 * n_dup_lines(t) > 30 * F.size(_lines(t))),
-    Rule("word_length", lambda t: (word_chars(t) < 2 * n_words(t)) | (word_chars(t) > 25 * n_words(t))),
+    Rule("few_words", lambda t, w: n_words(w) < 10),
+    Rule("repeated_words", lambda t, w: 100 * n_repeat_words(w) > 20 * n_words(w)),
+    Rule("symbols", lambda t, w: 100 * n_symbols(t) > 10 * n_words(w)),
+    Rule("shouting", lambda t, w: 100 * F.regexp_count(t, F.lit("!!")) > 20 * n_words(w)),
+    Rule("repeated_lines", lambda t, w: 100 * n_dup_lines(t) > 30 * F.size(_lines(t))),
+    Rule("word_length", lambda t, w: (word_chars(t) < 2 * n_words(w)) | (word_chars(t) > 25 * n_words(w))),
 )
 
 
@@ -120,15 +120,18 @@ class RuleCost:
 
 
 def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000) -> list[RuleCost]:
-    """Cost and selectivity of each rule on about ``sample_rows`` rows, best rejection per cost first."""
+    """Cost and selectivity of each rule on about ``sample_rows`` rows, best rejection per cost first.
+
+    Words are cut once for all rules, so they belong to no rule's cost.
+    """
     text = docs.select(text_or_empty(F.col("text")).alias("text"))
     total = docs.count()
     share = min(1.0, sample_rows / total) if total else 1.0
-    sample = staged(text.sample(share, seed=7).coalesce(2), "quality-sample")
+    sample = staged(text.sample(share, seed=7).withColumn("w", words(F.col("text"))).coalesce(2), "quality-sample")
     n = max(sample.count(), 1)
     found = []
     for rule in rules:
-        hits = sample.agg(F.count_if(rule.rejects(F.col("text"))).alias("hits"))
+        hits = sample.agg(F.count_if(rule.rejects(F.col("text"), F.col("w"))).alias("hits"))
         rejected = hits.first()["hits"] / n  # also warms the compiled code up
         began = time.perf_counter()
         hits.first()
@@ -136,20 +139,25 @@ def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int =
     return sorted(found, key=lambda c: (-c.rank, c.rule.name))
 
 
-def cascade(text: Column, ordered: Sequence[Rule]) -> Column:
+def cascade(text: Column, ws: Column, ordered: Sequence[Rule]) -> Column:
     """The name of the first rule, in this order, that rejects; null if none does."""
     verdict = F.lit(None).cast("string")
     for rule in reversed(ordered):
-        verdict = F.when(rule.rejects(text), F.lit(rule.name)).otherwise(verdict)
+        verdict = F.when(rule.rejects(text, ws), F.lit(rule.name)).otherwise(verdict)
     return verdict
 
 
+def first_rejection(text: Column, ordered: Sequence[Rule]) -> Column:
+    """``cascade`` over a text whose words are cut once."""
+    return let(words(text), lambda w: cascade(text, w, ordered))
+
+
 def quality_verdicts(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000, column: str = "rejected_by") -> DataFrame:
     """All columns of ``docs`` and ``column``: which rule of the cascade rejects the row first, or null."""
     ordered = [c.rule for c in estimate(docs, rules, sample_rows)]
     if column.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has a column {column}")
-    return docs.withColumn(column, cascade(text_or_empty(F.col("text")), ordered))
+    return docs.withColumn(column, first_rejection(text_or_empty(F.col("text")), ordered))
 
 
 def quality_filter(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000) -> DataFrame:
@@ -164,12 +172,14 @@ def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows:
     rest = [r for r in rules if r.name not in base]
     ordered = [c.rule for c in estimate(docs, rest, sample_rows)]
     t = F.col("t")
-    measured = docs.select("doc_id", text_or_empty(F.col("text")).alias("t")).select(
-        "doc_id", n_words(t).alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"),
-        n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(t).alias("n_repeat_words"), "t",
-    )
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return measured.withColumn("base_failed", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(t, ordered).isNull()).alias("kept"),
-    )
+
+    def measures(w: Column) -> Column:
+        return F.struct(
+            n_words(w).alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"),
+            n_repeat_words(w).alias("n_repeat_words"), cascade(t, w, ordered).alias("verdict"),
+        )
+
+    measured = docs.select("doc_id", text_or_empty(F.col("text")).alias("t")).select("doc_id", let(words(t), measures).alias("m"))
+    failed = (F.col("m.n_words") < 10) | (100 * F.col("m.n_repeat_words") > 20 * F.col("m.n_words"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return measured.select("doc_id", *[F.col(f"m.{n}").alias(n) for n in names], failed.alias("base_failed"), (~failed & F.col("m.verdict").isNull()).alias("kept"))

@@ -213,7 +213,7 @@ def test_cascade_order_does_not_change_rows(spark, sf_dir):
     kept = Counter(rows_of(quality.quality_filter(docs), *docs.columns))
     text = F.coalesce("text", F.lit(""))
     for rules in (quality.RULES, quality.RULES[::-1]):
-        assert Counter(rows_of(docs.where(quality.cascade(text, rules).isNull()), *docs.columns)) == kept
+        assert Counter(rows_of(docs.where(quality.first_rejection(text, rules).isNull()), *docs.columns)) == kept
     costs = quality.estimate(docs)
     assert [c.rank for c in costs] == sorted((c.rank for c in costs), reverse=True) and len(costs) == len(quality.RULES)
     assert quality.quality_filter(empty_docs(spark)).count() == 0 and quality.quality_report(empty_docs(spark)).count() == 0
