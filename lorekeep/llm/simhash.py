@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_name, staged
 
-SHINGLE, RADIUS, TILE_ROWS, BLOCK = 4, 4, 32768, 1024
+SHINGLE, RADIUS, TILE_ROWS, BLOCK, SALTS = 4, 4, 32768, 1024, 16
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = 42) -> int:
@@ -142,7 +142,9 @@ def link_forest(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS
         u, v = tile_links(sides.get(True, none), sides[True] if same else sides.get(False, none), same, radius)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return met.groupBy("a", "b").applyInPandas(compare, "u long, v long")
+    # pairs are few bytes and much work: a task has a few of them, whatever their size
+    pairs = sum(tiles[i] * tiles[j] for i in range(65) for j in range(i, min(i + radius, 64) + 1))
+    return met.repartition(min(max(pairs // 4, 1), 20_000), "a", "b").groupBy("a", "b").applyInPandas(compare, "u long, v long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -173,7 +175,9 @@ def _classes(fp_table: DataFrame, id_col: str, radius: int) -> DataFrame:
     roots = components(link_forest(distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-    return rooted.join(least, "root").select("fp", "class_id", "root")
+    # a class may hold a third of all fingerprints: its rows meet the class id in SALTS tasks
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("fp", "class_id", "root")
 
 
 def simhash_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
