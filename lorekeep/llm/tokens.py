@@ -170,14 +170,17 @@ class WordEncoder:
     """Ids of whole texts as little-endian u32 bytes.
 
     Valid where no token spans ASCII white space and white space makes no
-    tokens, as with a tokenizer that drops it: then a text's ids are those of
-    its pieces between white space, and each distinct piece is encoded once.
+    tokens, as with a tokenizer that lowers letters and drops white space: then a
+    text's ids are those of its pieces, and each distinct piece is encoded once.
+    Pieces end at white space and between a letter and a mark of ``.,;:!?``.
+    A-Z are lowered first, as the tokenizer would do; not so in batches with
+    combining marks, which form other characters with some small letters.
     Pieces of letters are encoded many at a time and cut apart at the tokens
     that end a word; all others, one by one. Two generations of pieces are
     remembered, of ``most`` entries each.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -185,7 +188,11 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            suffix = json.load(f)["model"].get("end_of_word_suffix")
+            spec = json.load(f)
+        suffix, normalizer = spec["model"].get("end_of_word_suffix"), spec.get("normalizer") or {}
+        self.lowers = any(n.get("type") == "Lowercase" for n in (normalizer, *normalizer.get("normalizers", ())))
+        special = [t for t in spec.get("added_tokens") or () if t.get("special") and not any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]
+        self.mark, self.mark_id = (special[0]["content"], special[0]["id"]) if special else (None, None)
         self.ends = None
         if suffix:
             vocab = self.tokenizer.get_vocab()
@@ -193,8 +200,19 @@ class WordEncoder:
             self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        """One by one, or many at a time with a special token between them, which no piece crosses."""
+        out = []
+        for at in range(0, len(words), 500):
+            some = words[at : at + 500]
+            texts = [w.decode("utf-8") for w in some]
+            if self.mark and not any(self.mark in t for t in texts):
+                ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.nonzero(ids == self.mark_id)[0].tolist()
+                if len(ends) == len(some) - 1:
+                    out += [ids[a:b].tobytes() for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+                    continue
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return out
 
     def _letters(self, words: list[bytes]) -> list[bytes]:
         out = []
@@ -209,46 +227,61 @@ class WordEncoder:
             out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
         return out
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         known, older = self.known, self.older
-        parts, letters, others = [], set(), set()
-        for w in words:
+        letters, others = [], []
+        for w in pieces:
             if (v := older.get(w)) is not None:
                 known[w] = v
-                continue
-            low = w.lower() if w.isascii() else w
-            core = low.rstrip(b".,;:!?")
-            if self.ends is not None and (core.isalpha() or not core.isascii() and core.decode("utf-8").isalpha()):
-                tail = low[len(core) :]
-                parts.append((w, core, tail))
-                if core not in known:
-                    letters.add(core)
-                if tail and tail not in known:
-                    others.add(tail)
+            elif self.ends is not None and (w.isalpha() or not w.isascii() and w.decode("utf-8").isalpha()):
+                letters.append(w)
             else:
-                others.add(w)
-        ordered, rest = sorted(letters), list(others)
-        known.update(zip(ordered, self._letters(ordered), strict=True))
-        known.update(zip(rest, self._ids(rest), strict=True))
-        for w, core, tail in parts:
-            known[w] = known[core] + known[tail] if tail else known[core]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
-        """(ids of all texts, ids per text). Equal pieces of a batch are found by two 64-bit hashes."""
+                others.append(w)
+        known.update(zip(letters, self._letters(letters), strict=True))
+        known.update(zip(others, self._ids(others), strict=True))
+
+    def _cut(self, texts: list[str]) -> tuple:
+        """(bytes, piece starts, stops, hash, first and last 8 bytes of each, pieces per text) of a part of a batch."""
         raws = [t.encode("utf-8", "replace") for t in texts]
         raw = b" ".join((b"", *raws, b""))
+        if self.lowers and b"\xcc" not in raw and b"\xcd" not in raw:
+            raw = raw.lower()
         data = np.frombuffer(raw, np.uint8)
-        blank = _BLANK[data]
-        edge = np.diff(blank.view(np.int8))
-        start, stop = np.nonzero(edge == -1)[0] + 1, np.nonzero(edge == 1)[0] + 1
-        one, two = (_piece_hashes(data, start, stop, k) for k in range(2))
+        kind = _KIND[data]
+        blank = kind == 0
+        cut = (kind[1:] == 2) & (kind[:-1] == 1)  # a mark after a letter
+        start = np.nonzero(~blank[1:] & (blank[:-1] | cut))[0] + 1
+        stop = np.nonzero(~blank[:-1] & (blank[1:] | cut))[0] + 1
+        upto = np.searchsorted(start, np.cumsum([1 + len(r) for r in raws]))
+        eights = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))
+        size = stop - start
+        head = eights[start] & _LOW[np.minimum(size, 8)]
+        return raw, start, stop, _piece_hashes(data, start, stop), head, np.where(size > 8, eights[stop - 8], head), np.diff(upto, prepend=0)
+
+    def encode(self, texts: list[str], part: int = 400) -> tuple[np.ndarray, list[int]]:
+        """(ids of all texts, ids per text).
+
+        Equal pieces of a batch are found by a 64-bit hash and confirmed by their
+        first and last 8 bytes.
+        """
+        if not texts:
+            return np.empty(0, np.uint32), []
+        parts = [self._cut(texts[i : i + part]) for i in range(0, len(texts), part)]
+        one, head, tail, per_text = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5, 6))
         _, first, which = np.unique(one, return_index=True, return_inverse=True)
-        if not np.array_equal(two, two[first][which]):
+        if not (np.array_equal(head, head[first][which]) and np.array_equal(tail, tail[first][which])):
             raise ArithmeticError("two pieces share a hash")
-        pieces = [raw[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
+        begin = np.cumsum([0, *(len(p[1]) for p in parts)])
+        pieces: list[bytes] = [b""] * len(first)
+        of = np.searchsorted(begin, first, side="right") - 1
+        for k, (raw, start, stop, *_) in enumerate(parts):
+            mine = np.nonzero(of == k)[0]
+            at = first[mine] - begin[k]
+            for i, a, b in zip(mine.tolist(), start[at].tolist(), stop[at].tolist(), strict=True):
+                pieces[i] = raw[a:b]
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        missing = set(pieces).difference(self.known)
+        missing = [w for w in pieces if w not in self.known]
         if missing:
             self._learn(missing)
         values = list(map(self.known.__getitem__, pieces))
@@ -257,29 +290,32 @@ class WordEncoder:
         n = own[which]
         ends = np.cumsum(n)
         ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(before[which] - (ends - n), n)]
-        bounds = np.searchsorted(start, np.cumsum([1 + len(r) for r in raws]))
-        upto = np.concatenate(([0], ends))[bounds]
-        return ids, np.diff(np.concatenate(([0], upto))).tolist()
+        upto = np.concatenate(([0], ends))[np.cumsum(per_text)]
+        return ids, np.diff(upto, prepend=0).tolist()
 
 
-_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
-_MULTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_inverse: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: 0 white space, 1 a-z and A-Z, 2 marks that end a word, 3 all else
+_KIND = np.array([0 if c in b"\t\n\x0b\x0c\r " else 1 if bytes([c]).isalpha() else 2 if c in b".,;:!?" else 3 for c in range(256)], np.uint8)
+#: Masks of the lowest 0 to 8 bytes
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_MULT = 0x9E3779B97F4A7C15
+_CODE = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+_CODE ^= _CODE >> np.uint64(31)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _piece_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, k: int) -> np.ndarray:
+def _piece_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Polynomial hashes of pieces from one running sum, brought to a common power by the inverse."""
-    if len(_powers[k]) < len(data) + 1:
-        n = 1 << len(data).bit_length()
-        base = np.full(n, _MULTS[k], np.uint64)
-        back = np.full(n, pow(_MULTS[k], -1, 1 << 64), np.uint64)
+    n = next((k for k in _powers if k >= len(data)), 1 << len(data).bit_length())
+    if n not in _powers:
+        base, back = np.full(n, _MULT, np.uint64), np.full(n, pow(_MULT, -1, 1 << 64), np.uint64)
         base[0] = back[0] = 1
-        _powers[k], _inverse[k] = np.multiply.accumulate(base), np.multiply.accumulate(back)
-    code = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_MULTS[1 - k])
-    code ^= code >> np.uint64(31)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code[data] * _powers[k][: len(data)], dtype=np.uint64)))
-    h = (total[stop] - total[start]) * _inverse[k][start] + (stop - start).astype(np.uint64)
+        _powers.clear()
+        _powers[n] = np.multiply.accumulate(base), np.multiply.accumulate(back)
+    power, back = _powers[n]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CODE[data] * power[: len(data)], out=total[1:])
+    h = (total[stop] - total[start]) * back[start] + (stop - start).astype(np.uint64)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
@@ -287,7 +323,7 @@ def _piece_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, k: int)
 _encoders: dict[str, WordEncoder] = {}
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, file_ids: int = FILE_IDS, batch: int = 512) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, file_ids: int = FILE_IDS, batch: int = 1600) -> DataFrame:
     """The staged store of all documents (doc_id, text), in ascending doc_id order.
 
     The tokenizer file must be one that drops white space (see WordEncoder).
