@@ -8,6 +8,8 @@ The prefix sums are a two-level scan. Turns are range-partitioned by
 (conversation, turn), so one conversation may cover many partitions; each
 partition sums its own part, the few part-sums of a conversation are scanned,
 and the result is added back. No step needs a whole conversation in one task.
+Sums and spans are found on rows without texts; a text is staged once, meets its
+windows once, and is shuffled once more to the other turns of its window.
 
 With a budget B: a turn of over B/4 tokens ("long") is a span of its own; other
 turns are cut on the grid of B/4 by their prefix sums, so a span has under B/2
@@ -56,19 +58,26 @@ def token_estimate(col: Column) -> Column:
     return F.regexp_count(col, F.lit(r"[\p{L}\p{N}]{1,4}|[^\s\p{L}\p{N}]")).cast("long") + F.lit(4)
 
 
-def _located(turns: DataFrame, budget: int) -> DataFrame:
-    """Adds idx, start_tok, end_tok and the span key to every turn."""
-    cell = max(budget // 4, 1)
+def _said(turns: DataFrame) -> DataFrame:
+    """Staged turns in order: seq grows with (conversation, turn, role, text), pid is the part of the order that a row is in."""
     base = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), null_safe_key(F.col("conv_id")).alias("conv_key"), F.col("turn").cast("long").alias("turn"),
         # a role with a line break would end its own header
         F.regexp_replace(escape(text_or_empty(F.col("role"))), "\n", "\\\\n").alias("role"), escape(text_or_empty(F.col("text"))).alias("text"),
-    ).withColumn("tokens", token_estimate("text"))
-    part = staged(
-        base.repartitionByRange("conv_key", "turn", "role", F.substring("text", 1, 64)).withColumn("pid", F.spark_partition_id()), "chat-turns"
     )
+    ranged = base.repartitionByRange("conv_key", "turn", "role", F.substring("text", 1, 64)).sortWithinPartitions("conv_key", "turn", "role", "text")
+    return staged(ranged.select(
+        "conv_key", "conv_id", "role", "text", token_estimate(F.col("text")).alias("tokens"),
+        F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("seq"),
+    ), "chat-turns")
+
+
+def _located(said: DataFrame, budget: int) -> DataFrame:
+    """idx, start_tok and span of every turn, without its text."""
+    cell = max(budget // 4, 1)
+    part = said.select("conv_key", "conv_id", "pid", "seq", "tokens", (F.col("role") == "system").alias("is_system"))
     is_long = (F.col("tokens") > cell).cast("long")
-    inner = Window.partitionBy("pid", "conv_key").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    inner = Window.partitionBy("pid", "conv_key").orderBy("seq")
     sofar = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = part.withColumns({
         "idx": F.row_number().over(inner).cast("long") - 1, "end_tok": F.sum("tokens").over(sofar), "longs": F.sum(is_long).over(sofar),
@@ -78,7 +87,7 @@ def _located(turns: DataFrame, budget: int) -> DataFrame:
     sums = sums.select("pid", "conv_key", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "ntl"])
     full = here.join(sums, ["pid", "conv_key"])
     return full.select(
-        "conv_key", "conv_id", "role", "text", "tokens", (F.col("idx") + F.col("n0")).alias("idx"),
+        "conv_key", "conv_id", "seq", "is_system", "tokens", (F.col("idx") + F.col("n0")).alias("idx"),
         (F.col("end_tok") + F.col("t0") - F.col("tokens")).alias("start_tok"),
         F.struct(
             (F.col("longs") + F.col("l0")).alias("longs"), (F.col("tokens") > cell).alias("is_long"),
@@ -96,7 +105,8 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history_turns: int = 2) -
     """
     if budget < 4 or history_turns < 0:
         raise ValueError("budget must be 4 or more and history_turns 0 or more")
-    located = staged(_located(turns, budget), "chat-located")
+    said = _said(turns)
+    located = staged(_located(said, budget), "chat-located")
     spans = located.groupBy("conv_key", "span").agg(F.min("idx").alias("window_start"), F.min("start_tok").alias("span_tok"))
     own = located.join(spans.select("conv_key", "span", "window_start"), ["conv_key", "span"]).withColumn("repeated", F.lit(False))
     wanted = spans.where("window_start > 0").withColumn(
@@ -104,13 +114,14 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history_turns: int = 2) -
             F.sequence(F.col("window_start") - history_turns, F.col("window_start") - 1) if history_turns else F.array().cast("array<bigint>"), lambda i: i >= 0))))
     ).drop("span")
     again = located.drop("span").join(wanted, ["conv_key", "idx"]).where(
-        ((F.col("idx") == 0) & (F.col("role") == "system"))
+        ((F.col("idx") == 0) & F.col("is_system"))
         | ((F.col("idx") >= F.col("window_start") - history_turns) & (F.col("span_tok") - F.col("start_tok") <= budget // 4))
     ).withColumn("repeated", F.lit(True))
-    cols = ["conv_key", "conv_id", "window_start", F.struct("idx", "role", "text", "tokens", "repeated").alias("turn")]
+    cols = ["seq", "conv_key", "conv_id", "window_start", "idx", "tokens", "repeated"]
+    places = own.select(*cols).unionByName(again.select(*cols))
     # a window is bounded by the budget: every turn counts 4 tokens at least
-    grouped = own.select(*cols).unionByName(again.select(*cols)).groupBy("conv_key", "conv_id", "window_start").agg(
-        F.array_sort(F.collect_list("turn")).alias("turns")
+    grouped = said.select("seq", "role", "text").join(places, "seq").groupBy("conv_key", "conv_id", "window_start").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "role", "text", "tokens", "repeated"))).alias("turns")
     )
 
     def fmt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
