@@ -166,6 +166,41 @@ def decode_block(payload: bytes, b: int) -> np.ndarray:
     return decode_words(data, n_words[b : b + 1], n_escapes[b : b + 1], n, block)
 
 
+class PieceStore:
+    """Ids of known pieces in sorted arrays, about 50 bytes a piece, looked up many at a time.
+
+    A piece is known by its 64-bit hash and its first and last 8 bytes. Every
+    batch of new pieces is a level; levels of similar size merge, and beyond
+    ``most`` pieces the largest, which is the oldest, is dropped.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.levels: list[tuple[np.ndarray, ...]] = []  # hash, head, tail, begin, size, ids
+
+    def find(self, one: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, size, ids): a piece's ids are ``size`` ids from ``begin``, which is -1 if it is not known."""
+        begin, size, shift = np.full(len(one), -1, np.int64), np.zeros(len(one), np.int64), 0
+        for h, a, b, begins, sizes, ids in self.levels:
+            at = np.minimum(np.searchsorted(h, one), len(h) - 1)
+            hit = np.nonzero((h[at] == one) & (a[at] == head) & (b[at] == tail))[0]
+            begin[hit], size[hit] = begins[at[hit]] + shift, sizes[at[hit]]
+            shift += len(ids)
+        return begin, size, np.concatenate([np.empty(0, "<u4"), *(x[5] for x in self.levels)])
+
+    def add(self, *level: np.ndarray) -> None:
+        """``level`` as in ``levels``, in order of hashes."""
+        self.levels.append(level)
+        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
+            late, early = self.levels.pop(), self.levels.pop()
+            order = np.argsort(np.concatenate((early[0], late[0])), kind="stable")
+            late = (*late[:3], late[3] + len(early[5]), *late[4:])
+            merged = [np.concatenate((early[k], late[k]))[order] for k in range(5)]
+            self.levels.append((*merged, np.concatenate((early[5], late[5]))))
+        while sum(len(x[0]) for x in self.levels) > self.most:
+            self.levels.pop(0)
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian u32 bytes.
 
@@ -176,17 +211,14 @@ class WordEncoder:
     A-Z are lowered first, as the tokenizer would do; not so in batches with
     combining marks, which form other characters with some small letters.
     Pieces of letters are encoded many at a time and cut apart at the tokens
-    that end a word; all others, one by one. Two generations of pieces are
-    remembered, of ``most`` entries each.
+    that end a word; all others, one by one. Up to ``most`` pieces are remembered.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), PieceStore(most)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         suffix, normalizer = spec["model"].get("end_of_word_suffix"), spec.get("normalizer") or {}
@@ -199,7 +231,7 @@ class WordEncoder:
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
+    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
         """One by one, or many at a time with a special token between them, which no piece crosses."""
         out = []
         for at in range(0, len(words), 500):
@@ -209,36 +241,41 @@ class WordEncoder:
                 ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, "<u4")
                 ends = np.nonzero(ids == self.mark_id)[0].tolist()
                 if len(ends) == len(some) - 1:
-                    out += [ids[a:b].tobytes() for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+                    out += [ids[a:b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
                     continue
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            out += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return out
 
-    def _letters(self, words: list[bytes]) -> list[bytes]:
-        out = []
+    def _letters(self, words: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(ids, sizes) of the words, in arrays of many words each."""
+        out, sizes = [], []
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.nonzero(self.ends[ids])[0] + 1) * 4
-            if len(ends) != len(some):  # a letter whose lower case is no letter alone
-                out += self._ids(some)
-                continue
-            raw, cuts = ids.tobytes(), ends.tolist()
-            out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-        return out
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        known, older = self.known, self.older
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if len(ends) == len(some):
+                out.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            else:  # a letter whose lower case is no letter alone
+                one_by_one = self._ids(some)
+                out += one_by_one
+                sizes.append(np.fromiter(map(len, one_by_one), np.int64, len(some)))
+        return out, sizes
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, size, ids) of pieces."""
         letters, others = [], []
-        for w in pieces:
-            if (v := older.get(w)) is not None:
-                known[w] = v
-            elif self.ends is not None and (w.isalpha() or not w.isascii() and w.decode("utf-8").isalpha()):
-                letters.append(w)
+        for i, w in enumerate(pieces):
+            if self.ends is not None and (w.isalpha() or not w.isascii() and w.decode("utf-8").isalpha()):
+                letters.append(i)
             else:
-                others.append(w)
-        known.update(zip(letters, self._letters(letters), strict=True))
-        known.update(zip(others, self._ids(others), strict=True))
+                others.append(i)
+        ids, sizes = self._letters([pieces[i] for i in letters])
+        rest = self._ids([pieces[i] for i in others])
+        own = np.concatenate([np.empty(0, np.int64), *sizes, np.fromiter(map(len, rest), np.int64, len(rest))])
+        order, begin, size = np.array(letters + others, np.int64), np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        begin[order], size[order] = np.cumsum(own) - own, own
+        return begin, size, np.concatenate([np.empty(0, "<u4"), *ids, *rest])
 
     def _cut(self, texts: list[str]) -> tuple:
         """(bytes, piece starts, stops, hash, first and last 8 bytes of each, pieces per text) of a part of a batch."""
@@ -258,11 +295,24 @@ class WordEncoder:
         head = eights[start] & _LOW[np.minimum(size, 8)]
         return raw, start, stop, _piece_hashes(data, start, stop), head, np.where(size > 8, eights[stop - 8], head), np.diff(upto, prepend=0)
 
+    @staticmethod
+    def _pieces(parts: list[tuple], places: np.ndarray) -> list[bytes]:
+        """The bytes of pieces, given by their places among all pieces of the parts."""
+        begin = np.cumsum([0, *(len(p[1]) for p in parts)])
+        of = np.searchsorted(begin, places, side="right") - 1
+        out: list[bytes] = [b""] * len(places)
+        for k, (raw, start, stop, *_) in enumerate(parts):
+            mine = np.nonzero(of == k)[0]
+            at = places[mine] - begin[k]
+            for i, a, b in zip(mine.tolist(), start[at].tolist(), stop[at].tolist(), strict=True):
+                out[i] = raw[a:b]
+        return out
+
     def encode(self, texts: list[str], part: int = 400) -> tuple[np.ndarray, list[int]]:
         """(ids of all texts, ids per text).
 
-        Equal pieces of a batch are found by a 64-bit hash and confirmed by their
-        first and last 8 bytes.
+        Equal pieces are found by a 64-bit hash and confirmed by their first and
+        last 8 bytes, within a batch and among those that are known.
         """
         if not texts:
             return np.empty(0, np.uint32), []
@@ -271,25 +321,16 @@ class WordEncoder:
         _, first, which = np.unique(one, return_index=True, return_inverse=True)
         if not (np.array_equal(head, head[first][which]) and np.array_equal(tail, tail[first][which])):
             raise ArithmeticError("two pieces share a hash")
-        begin = np.cumsum([0, *(len(p[1]) for p in parts)])
-        pieces: list[bytes] = [b""] * len(first)
-        of = np.searchsorted(begin, first, side="right") - 1
-        for k, (raw, start, stop, *_) in enumerate(parts):
-            mine = np.nonzero(of == k)[0]
-            at = first[mine] - begin[k]
-            for i, a, b in zip(mine.tolist(), start[at].tolist(), stop[at].tolist(), strict=True):
-                pieces[i] = raw[a:b]
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        missing = [w for w in pieces if w not in self.known]
-        if missing:
-            self._learn(missing)
-        values = list(map(self.known.__getitem__, pieces))
-        own = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        flat, before = np.frombuffer(b"".join(values), "<u4"), np.cumsum(own) - own
-        n = own[which]
+        one, head, tail = one[first], head[first], tail[first]
+        begin, size, flat = self.known.find(one, head, tail)
+        new = np.nonzero(begin < 0)[0]
+        if len(new):
+            level = self._learn(self._pieces(parts, first[new]))
+            self.known.add(one[new], head[new], tail[new], *level)
+            begin[new], size[new], flat = level[0] + len(flat), level[1], np.concatenate((flat, level[2]))
+        n = size[which]
         ends = np.cumsum(n)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(before[which] - (ends - n), n)]
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[which] - (ends - n), n)]
         upto = np.concatenate(([0], ends))[np.cumsum(per_text)]
         return ids, np.diff(upto, prepend=0).tolist()
 

@@ -370,6 +370,37 @@ def test_token_files(spark, sf_dir):
     assert got == expected_tokens(sorted(rows_of(docs, "doc_id", "text")))
 
 
+def test_piece_store_merges_drops_and_tells_equal_hashes_apart():
+    rng = np.random.default_rng(6)
+    store, known = tokens.PieceStore(600), {}
+    for _ in range(40):
+        one = np.unique(rng.integers(0, 2000, 50).astype(np.uint64))
+        begin, size, ids = store.find(one, one * 3, one * 5)
+        for h, b, n in zip(one.tolist(), begin.tolist(), size.tolist(), strict=True):
+            assert b < 0 or ids[b : b + n].tolist() == known[h]
+        new = one[begin < 0]
+        sizes = rng.integers(0, 4, len(new))
+        flat = rng.integers(0, 99, sizes.sum()).astype("<u4")
+        begins = np.cumsum(sizes) - sizes
+        known |= {h: flat[b : b + n].tolist() for h, b, n in zip(new.tolist(), begins.tolist(), sizes.tolist(), strict=True)}
+        if len(new):
+            store.add(new, new * 3, new * 5, begins, sizes, flat)
+        assert sum(len(x[0]) for x in store.levels) <= 600
+    assert (store.find(one, one * 3 + 1, one * 5)[0] == -1).all() and (store.find(one, one * 3, one * 5)[0] >= 0).any()
+
+
+def test_token_files_with_a_small_store(sf_dir):
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    texts = pd.read_parquet(f"{sf_dir}/documents.parquet").text.tolist()
+    encoder, whole = tokens.WordEncoder(queries.tokenizer_path(), most=500), Tokenizer.from_file(queries.tokenizer_path())
+    want = [t.ids for t in whole.encode_batch(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 20):
+        ids, counts = encoder.encode(texts[at : at + 20], part=7)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[at : at + 20]
+
+
 def test_token_files_hard_cases(spark, tmp_path):
     docs = hard_docs(spark)
     store = tokens.write_tokens(docs, queries.tokenizer_path(), 2)
