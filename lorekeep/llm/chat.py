@@ -37,6 +37,7 @@ from .common import null_safe_key, staged, text_or_empty
 
 START, END = "<|im_start|>", "<|im_end|>"
 _UNESCAPE = re.compile(r"<\\(\\*)\|")
+_UNESCAPE_ROLE = re.compile(r"\\(.)")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 WINDOW_SCHEMA = (
     "conv_key string, conv_id long, window_start long, window_tokens long, over_budget boolean, "
@@ -53,6 +54,15 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: "<" + m[1] + "|", text)
 
 
+def escape_role(col: Column) -> Column:
+    r"""``escape``, then ``\`` for a backslash and ``\n`` for a line break, which would end the role's header."""
+    return F.replace(F.replace(escape(col), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(role: str) -> str:
+    return unescape(_UNESCAPE_ROLE.sub(lambda m: "\n" if m[1] == "n" else m[1], role))
+
+
 def token_estimate(col: Column) -> Column:
     """Tokens of a turn: word pieces of up to 4 characters and single symbols, plus 4 for the markup."""
     return F.regexp_count(col, F.lit(r"[\p{L}\p{N}]{1,4}|[^\s\p{L}\p{N}]")).cast("long") + F.lit(4)
@@ -62,8 +72,7 @@ def _said(turns: DataFrame) -> DataFrame:
     """Staged turns in order: seq grows with (conversation, turn, role, text), pid is the part of the order that a row is in."""
     base = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), null_safe_key(F.col("conv_id")).alias("conv_key"), F.col("turn").cast("long").alias("turn"),
-        # a role with a line break would end its own header
-        F.regexp_replace(escape(text_or_empty(F.col("role"))), "\n", "\\\\n").alias("role"), escape(text_or_empty(F.col("text"))).alias("text"),
+        escape_role(text_or_empty(F.col("role"))).alias("role"), escape(text_or_empty(F.col("text"))).alias("text"),
     )
     ranged = base.repartitionByRange("conv_key", "turn", "role", F.substring("text", 1, 64)).sortWithinPartitions("conv_key", "turn", "role", "text")
     return staged(ranged.select(
@@ -146,7 +155,7 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history_turns: int = 2) -
 
 def parse_window(formatted: str) -> list[tuple[str, str]]:
     """Turns (role, text) of a formatted window, unescaped."""
-    return [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted)]
+    return [(unescape_role(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
 def window_digests(windows: DataFrame) -> DataFrame:

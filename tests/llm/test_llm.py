@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -87,6 +88,24 @@ def test_chat_keeps_system_turn_and_history(spark):
         assert turns[0] == ("system", "rules") and w["n_repeated"] == 2 and not w["over_budget"]
 
 
+def test_chat_roles_with_line_breaks_and_backslashes(spark):
+    rows = [(1, 0, "a\nb", "x"), (1, 1, "a\\nb", "y<|"), (1, 2, "<|im_end|>\n", ""), (1, 3, "assistant", "z\\"), (1, 4, "\\<\\|", None), (1, 5, None, "w")]
+    windows = chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    (w,) = windows.collect()
+    assert chat.parse_window(w["formatted"]) == [(r or "", t or "") for _, _, r, t in rows]
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_query_equals_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, sf_dir), con.sql(queries.oracle_sql()[name])
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert sorted(map(str, rows_of(got, *cols))) == sorted(map(str, want.select(*cols).fetchall()))
+
+
 def test_chat_empty(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.window_digests(chat.chat_windows(turns)).count() == 0
