@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import staged
+from ..scratch import Growing, staged
 from .ranks import global_rank
 
 Step = tuple[str, str, Column | None]
@@ -91,19 +91,19 @@ def _walk(start, steps: list[list[tuple]]) -> list[tuple]:
 
 
 def _staged_walk(live: DataFrame, start, walks: list[DataFrame]) -> DataFrame:
-    visited = staged(live.where(F.col("id") == F.lit(start)).select("id", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("pos")), "visited")
+    visited = Growing("visited")
+    first = visited.add(live.where(F.col("id") == F.lit(start)).select("id", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("pos")), 1)
     n, depth = 1, 1
     for n_step, walk in enumerate(walks):
         walk = staged(walk, "walk")
-        frontier = visited if n_step == 0 else visited.where("pos > 0")
+        frontier = first if n_step == 0 else visited.read().where("pos > 0")
         while True:
             met = walk.join(frontier.select(F.col("id").alias("near"), F.col("pos").alias("ppos")), "near").groupBy(F.col("far").alias("id")).agg(F.min(F.struct("ppos", "seq")).alias("at"))
-            new = staged(met.join(visited, "id", "left_anti"), "level")
+            new = staged(met.join(visited.read(), "id", "left_anti"), "level")
             count = new.count()
             if not count:
                 break
             ranked = global_rank(new, [F.col("at.ppos"), F.col("at.seq")], "pos", count)
-            frontier = staged(ranked.select("id", F.lit(depth).cast("long").alias("depth"), (F.col("pos") + (n - 1)).alias("pos")), "frontier")
-            visited = staged(visited.unionByName(frontier), "visited")
+            frontier = visited.add(ranked.select("id", F.lit(depth).cast("long").alias("depth"), (F.col("pos") + (n - 1)).alias("pos")), count)
             n, depth = n + count, depth + 1
-    return visited
+    return visited.read()

@@ -18,6 +18,7 @@ from .operators import graph
 from .operators.filters import column_equals, has_embedding
 from .operators.metrics import recall_precision
 from .operators.ranking import Knn, Lexical, Ranking, knn_batch, rank
+from .operators.ranks import global_rank
 from .operators.votes import vote_aggregates, with_votes
 from .plans.nodes import FieldEquals, Select
 from .sources import log as logs
@@ -273,11 +274,9 @@ def hybrid_recency(spark, d):
 
 def _order_log(spark, d) -> DataFrame:
     """Orders as inserts on their customer, time by (date, key); every order of over 480,000 is a forget."""
-    from pyspark.sql.window import Window
-
-    orders = table(spark, d, "orders")
-    ts = F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")).cast("long")
-    made = orders.select(ts.alias("ts"), F.when(F.col("o_totalprice") > 480000, "forget").otherwise("insert").alias("op"), "o_custkey", "o_orderkey")
+    columns = table(spark, d, "orders").select("o_orderdate", "o_custkey", "o_orderkey", "o_totalprice")
+    orders = global_rank(columns, [F.col("o_orderdate"), F.col("o_orderkey")], "ts")
+    made = orders.select("ts", F.when(F.col("o_totalprice") > 480000, "forget").otherwise("insert").alias("op"), "o_custkey", "o_orderkey")
     value = F.struct(F.lit(2).cast("tinyint").alias("tag"), F.col("o_orderkey").cast("string").alias("canon"))
     empty = spark.createDataFrame([], logs.SCHEMA)
     row = made.select(
@@ -308,10 +307,8 @@ def as_of_t(spark, d):
 g AS (SELECT o_custkey, max(ts) AS gone FROM o WHERE o_totalprice > 300000 GROUP BY o_custkey)
 SELECT ts AS seq, 'customer:' || o.o_custkey AS src, 'order:' || o_orderkey AS dst FROM o LEFT JOIN g USING (o_custkey) WHERE o_totalprice <= 300000 AND NOT coalesce(ts < gone, false)""")
 def forget_edges(spark, d):
-    from pyspark.sql.window import Window
-
-    ts = F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")).cast("long")
-    o = table(spark, d, "orders").select(ts.alias("ts"), "o_custkey", "o_orderkey", "o_totalprice")
+    columns = table(spark, d, "orders").select("o_orderdate", "o_custkey", "o_orderkey", "o_totalprice")
+    o = global_rank(columns, [F.col("o_orderdate"), F.col("o_orderkey")], "ts")
     gone = F.col("o_totalprice") > 300000
     row = o.select(
         F.lit("").alias("memory"), "ts", F.when(gone, "forget").otherwise("relate").alias("op"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("rid"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/lorekeep/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Growing:
+    """A table that grows by parts; parts of similar size merge, so a row is rewritten about log2(rows) times at most."""
+
+    def __init__(self, name: str):
+        self.name, self.parts = name, []
+
+    def add(self, part: DataFrame, n_rows: int) -> DataFrame:
+        """Stages a part and returns it."""
+        added = staged(part, self.name)
+        self.parts.append((n_rows, added))
+        while len(self.parts) > 1 and self.parts[-2][0] < 2 * self.parts[-1][0]:
+            (n, y), (m, x) = self.parts.pop(), self.parts.pop()
+            self.parts.append((m + n, staged(x.unionByName(y), self.name)))
+        return added
+
+    def read(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [part for _, part in self.parts])
