@@ -18,8 +18,8 @@ kept by ``decontaminate``); empty tables give empty or clean results.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -73,6 +73,17 @@ class Automaton:
         return hit, items
 
 
+_built: dict[tuple[str, int], Automaton] = {}
+
+
+def automaton(run: str, k: int, windows: list[tuple[bytes, list[int]]]) -> Automaton:
+    """The k-th automaton of a run. A worker keeps the last one it built for its later tasks and batches."""
+    if (run, k) not in _built:
+        _built.clear()
+        _built[run, k] = Automaton(windows)
+    return _built[run, k]
+
+
 def original_spans(text: str, hit: np.ndarray) -> list[dict]:
     """Maximal runs of hit words as code point offsets [start, end) into the text."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -101,10 +112,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ke
     groups, ids = benchmark_windows(benchmark, width)
     shared = [spark.sparkContext.broadcast(g) for g in groups]
     ids_shared = spark.sparkContext.broadcast(ids)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema, mark = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machines = [Automaton(b.value) for b in shared] if len(shared) == 1 else None
         ids = ids_shared.value
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf.pop("__text")]
@@ -112,7 +122,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ke
             hits = [np.zeros(len(w), bool) for w in words]
             items: list[set[int]] = [set() for _ in words]
             for k in range(len(shared)):  # beyond one automaton, one at a time is held
-                machine = machines[0] if machines else Automaton(shared[k].value)
+                machine = automaton(mark, k, shared[k].value)
                 for i, w in enumerate(words):
                     h, own = machine.scan(w)
                     hits[i] |= h
@@ -136,16 +146,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     spark = docs.sparkSession
     groups, _ = benchmark_windows(benchmark, width)
     shared = [spark.sparkContext.broadcast(g) for g in groups]
-    name = fresh_name(docs, "hit")
+    name, mark = fresh_name(docs, "hit"), uuid.uuid4().hex
 
     @F.pandas_udf("boolean")
     def is_hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machines = [Automaton(b.value) for b in shared] if len(shared) == 1 else None
         for texts in batches:
             words = [normalised_words(t) if isinstance(t, str) else [] for t in texts]
             found = np.zeros(len(words), bool)
             for k in range(len(shared)):
-                machine = machines[0] if machines else Automaton(shared[k].value)
+                machine = automaton(mark, k, shared[k].value)
                 found |= np.array([machine.scan(w)[0].any() for w in words], bool)
             yield pd.Series(found)
 
