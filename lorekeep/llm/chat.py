@@ -4,12 +4,14 @@ Method: prefix sums of turn tokens choose turn-aligned spans; every window
 retains the system turn, repeats a limited history, and masks the targets it
 repeats, so each assistant text is under the loss mask in exactly one window.
 
-The prefix sums are a two-level scan. Turns are range-partitioned by
-(conversation, turn), so one conversation may cover many partitions; each
-partition sums its own part, the few part-sums of a conversation are scanned,
-and the result is added back. No step needs a whole conversation in one task.
-Sums and spans are found on rows without texts; a text is staged once, meets its
-windows once, and is shuffled once more to the other turns of its window.
+Conversations of up to ``HOT_BYTES`` are shuffled once, by conversation: sums,
+spans, windows and digests follow from that one order. Larger ones (one may hold
+a third of all turns) take a two-level scan. Their turns are range-partitioned by
+(conversation, turn); each partition sums its own part, the few part-sums of a
+conversation are scanned, and the result is added back, so no step needs a whole
+conversation in one task. Sums and spans are found on rows without texts; a text
+is staged once, meets its windows once, and is shuffled once more to the other
+turns of its window. Both ways give the same windows.
 
 With a budget B: a turn of over B/4 tokens ("long") is a span of its own; other
 turns are cut on the grid of B/4 by their prefix sums, so a span has under B/2
@@ -39,10 +41,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 _UNESCAPE = re.compile(r"<\\(\\*)\|")
 _UNESCAPE_ROLE = re.compile(r"\\(.)")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
-WINDOW_SCHEMA = (
-    "conv_key string, conv_id long, window_start long, window_tokens long, over_budget boolean, "
-    "n_repeated int, formatted string, loss_spans array<struct<start:int,length:int>>"
-)
+#: A conversation is hot beyond so many bytes, or beyond a millionth of all bytes; so there are at most a million hot ones.
+HOT_BYTES, MAX_HOT = 64 << 20, 1_000_000
 
 
 def escape(col: Column) -> Column:
@@ -68,12 +68,26 @@ def token_estimate(col: Column) -> Column:
     return F.regexp_count(col, F.lit(r"[\p{L}\p{N}]{1,4}|[^\s\p{L}\p{N}]")).cast("long") + F.lit(4)
 
 
-def _said(turns: DataFrame) -> DataFrame:
-    """Staged turns in order: seq grows with (conversation, turn, role, text), pid is the part of the order that a row is in."""
-    base = turns.select(
+def _base(turns: DataFrame) -> DataFrame:
+    return turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), null_safe_key(F.col("conv_id")).alias("conv_key"), F.col("turn").cast("long").alias("turn"),
         escape_role(text_or_empty(F.col("role"))).alias("role"), escape(text_or_empty(F.col("text"))).alias("text"),
     )
+
+
+def _split(base: DataFrame, hot_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """(turns of conversations that one task may take, turns of the hot ones or None)."""
+    sizes = base.groupBy("conv_key").agg(F.sum(F.octet_length("text") + F.octet_length("role") + 32).alias("b"))
+    total = sizes.agg(F.sum("b").alias("b"), F.max("b").alias("most")).first()
+    limit = max(hot_bytes, (total["b"] or 0) // MAX_HOT)
+    if (total["most"] or 0) <= limit:
+        return base, None
+    hot = staged(sizes.where(F.col("b") > limit).select("conv_key"), "chat-hot")  # MAX_HOT rows at most, or total / hot_bytes
+    return base.join(F.broadcast(hot), "conv_key", "left_anti"), base.join(F.broadcast(hot), "conv_key", "left_semi")
+
+
+def _said(base: DataFrame) -> DataFrame:
+    """Staged turns in order: seq grows with (conversation, turn, role, text), pid is the part of the order that a row is in."""
     ranged = base.repartitionByRange("conv_key", "turn", "role", F.substring("text", 1, 64)).sortWithinPartitions("conv_key", "turn", "role", "text")
     return staged(ranged.select(
         "conv_key", "conv_id", "role", "text", token_estimate(F.col("text")).alias("tokens"),
@@ -105,16 +119,9 @@ def _located(said: DataFrame, budget: int) -> DataFrame:
     )
 
 
-def chat_windows(turns: DataFrame, budget: int = 2048, history_turns: int = 2) -> DataFrame:
-    """One row per window: formatted text, loss spans (code points into it) and how many turns it repeats.
-
-    ``turns``: conv_id, turn, role, text. Repeated turns are the system turn (a
-    conversation's first turn, if its role is system) and up to
-    ``history_turns`` turns before the span, of at most budget/4 tokens.
-    """
-    if budget < 4 or history_turns < 0:
-        raise ValueError("budget must be 4 or more and history_turns 0 or more")
-    said = _said(turns)
+def _hot_turns(base: DataFrame, budget: int, history_turns: int) -> DataFrame:
+    """conv_key, conv_id, window_start and the turns of every window of hot conversations."""
+    said = _said(base)
     located = staged(_located(said, budget), "chat-located")
     spans = located.groupBy("conv_key", "span").agg(F.min("idx").alias("window_start"), F.min("start_tok").alias("span_tok"))
     own = located.join(spans.select("conv_key", "span", "window_start"), ["conv_key", "span"]).withColumn("repeated", F.lit(False))
@@ -129,28 +136,75 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history_turns: int = 2) -
     cols = ["seq", "conv_key", "conv_id", "window_start", "idx", "tokens", "repeated"]
     places = own.select(*cols).unionByName(again.select(*cols))
     # a window is bounded by the budget: every turn counts 4 tokens at least
-    grouped = said.select("seq", "role", "text").join(places, "seq").groupBy("conv_key", "conv_id", "window_start").agg(
+    return said.select("seq", "role", "text").join(places, "seq").groupBy("conv_key", "conv_id", "window_start").agg(
         F.array_sort(F.collect_list(F.struct("idx", "role", "text", "tokens", "repeated"))).alias("turns")
     )
 
-    def fmt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, cid, start, ts in zip(pdf.conv_key, pdf.conv_id, pdf.window_start, pdf.turns, strict=True):
-                out, at, loss, total, n_rep = [], 0, [], 0, 0
-                for t in ts:
-                    head = f"{START}{t['role']}\n"
-                    if t["role"] == "assistant" and not t["repeated"]:
-                        loss.append({"start": at + len(head), "length": len(t["text"])})
-                    out += (head, t["text"], END, "\n")
-                    at += len(head) + len(t["text"]) + len(END) + 1
-                    total += int(t["tokens"])
-                    n_rep += bool(t["repeated"])
-                rows.append((key, cid, start, total, total > budget, n_rep, "".join(out), loss))
-            got = pd.DataFrame(rows, columns=["conv_key", "conv_id", "window_start", "window_tokens", "over_budget", "n_repeated", "formatted", "loss_spans"])
-            yield got.astype({"conv_id": "Int64"})
-
-    return grouped.mapInPandas(fmt, WINDOW_SCHEMA)
+
+def _turns(base: DataFrame, budget: int, history_turns: int) -> DataFrame:
+    """The same for all other conversations: one shuffle, which the grouping by windows shares."""
+    cell = max(budget // 4, 1)
+    order = Window.partitionBy("conv_key").orderBy("turn", "role", "text")
+    sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_long = F.col("tokens") > cell
+    summed = base.withColumn("tokens", token_estimate(F.col("text"))).withColumns({
+        "idx": F.row_number().over(order).cast("long") - 1, "end_tok": F.sum("tokens").over(sofar), "longs": F.sum(is_long.cast("long")).over(sofar),
+    }).withColumns({
+        "start_tok": F.col("end_tok") - F.col("tokens"), "span": F.struct("longs", is_long.alias("is_long"), F.when(is_long, F.lit(0)).otherwise(F.floor((F.col("end_tok") - 1) / cell)).alias("cell")),
+    })
+    begins = summed.withColumn("begins", (F.col("idx") == 0) | (F.col("span") != F.lag("span").over(order)))
+    turn = F.struct("idx", "role", "text", "tokens", "start_tok")
+    first = F.first(F.when((F.col("idx") == 0) & (F.col("role") == "system"), F.array(turn))).over(sofar)
+    before = F.collect_list(turn).over(order.rowsBetween(-history_turns, -1)) if history_turns else F.array().cast("array<struct<idx:bigint,role:string,text:string,tokens:bigint,start_tok:bigint>>")
+    marked = begins.withColumns({"window_start": F.max(F.when(F.col("begins"), F.col("idx"))).over(sofar), "first": first, "before": before})
+    near = F.filter("before", lambda t: ((t["idx"] == 0) & (t["role"] == "system")) | (F.col("start_tok") - t["start_tok"] <= budget // 4))
+    repeats = F.concat(F.when(F.col("idx") > history_turns, F.coalesce("first", F.array().cast(marked.schema["first"].dataType))).otherwise(F.array().cast(marked.schema["first"].dataType)), near)
+    placed = lambda t, again: F.struct(t["idx"].alias("idx"), t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"), F.lit(again).alias("repeated"))
+    held = marked.select(
+        "conv_key", "conv_id", "window_start", turn.alias("own"), F.when(F.col("begins") & (F.col("idx") > 0), repeats).alias("again"),
+    )
+    grouped = held.groupBy("conv_key", "conv_id", "window_start").agg(F.array_sort(F.collect_list("own")).alias("own"), F.first("again", ignorenulls=True).alias("again"))
+    return grouped.select("conv_key", "conv_id", "window_start", F.concat(
+        F.coalesce(F.transform("again", lambda t: placed(t, True)), F.array()), F.transform("own", lambda t: placed(t, False))).alias("turns"))
+
+
+def _formatted(windows: DataFrame, budget: int) -> DataFrame:
+    """conv_key, conv_id, window_start, window_tokens, over_budget, n_repeated, formatted, loss_spans."""
+    head = lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"))
+    piece = lambda t: F.concat(head(t), t["text"], F.lit(END + "\n"))
+    nothing = F.array().cast("array<struct<start:int,length:int>>")
+
+    def step(a: Column, t: Column) -> Column:
+        begin, length = a["at"] + F.char_length(head(t)), F.char_length(t["text"])
+        target = (t["role"] == "assistant") & ~t["repeated"]
+        return F.struct(
+            (begin + length + len(END) + 1).alias("at"),
+            F.when(target, F.concat(a["loss"], F.array(F.struct(begin.alias("start"), length.alias("length"))))).otherwise(a["loss"]).alias("loss"),
+        )
+
+    total = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["tokens"])
+    return windows.select(
+        "conv_key", "conv_id", "window_start", total.alias("window_tokens"), (total > budget).alias("over_budget"), F.size(F.filter("turns", lambda t: t["repeated"])).alias("n_repeated"),
+        F.array_join(F.transform("turns", piece), "").alias("formatted"), F.aggregate("turns", F.struct(F.lit(0).alias("at"), nothing.alias("loss")), step, lambda a: a["loss"]).alias("loss_spans"),
+    )
+
+
+def _both(turns: DataFrame, budget: int, history_turns: int, hot_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    if budget < 4 or history_turns < 0:
+        raise ValueError("budget must be 4 or more and history_turns 0 or more")
+    rest, hot = _split(_base(turns), hot_bytes)
+    return _formatted(_turns(rest, budget, history_turns), budget), None if hot is None else _formatted(_hot_turns(hot, budget, history_turns), budget)
+
+
+def chat_windows(turns: DataFrame, budget: int = 2048, history_turns: int = 2, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """One row per window: formatted text, loss spans (code points into it) and how many turns it repeats.
+
+    ``turns``: conv_id, turn, role, text. Repeated turns are the system turn (a
+    conversation's first turn, if its role is system) and up to
+    ``history_turns`` turns before the span, of at most budget/4 tokens.
+    """
+    rest, hot = _both(turns, budget, history_turns, hot_bytes)
+    return rest if hot is None else rest.unionByName(hot)
 
 
 def parse_window(formatted: str) -> list[tuple[str, str]]:
@@ -165,8 +219,18 @@ def window_digests(windows: DataFrame) -> DataFrame:
     stream in order through one task, one Arrow batch at a time: memory stays
     bounded, and nothing of a conversation is held.
     """
-    ordered = windows.repartition("conv_key").sortWithinPartitions("conv_key", "window_start")
+    return _digests(windows.repartition("conv_key").sortWithinPartitions("conv_key", "window_start"))
+
+
+def chat_digests(turns: DataFrame, budget: int = 2048, history_turns: int = 2, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """``window_digests`` of ``chat_windows``; windows of conversations that are not hot are read where they were made."""
+    rest, hot = _both(turns, budget, history_turns, hot_bytes)
+    # the row number asks for the order that is there but for a sort within tasks
+    done = _digests(rest.withColumn("place", F.row_number().over(Window.partitionBy("conv_key").orderBy("window_start"))))
+    return done if hot is None else done.unionByName(window_digests(hot))
+
 
+def _digests(ordered: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None
 

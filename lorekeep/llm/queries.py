@@ -27,7 +27,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast("long").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"),
     )
-    return chat.window_digests(chat.chat_windows(turns.unionByName(extra)))
+    return chat.chat_digests(turns.unionByName(extra))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

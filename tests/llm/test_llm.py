@@ -68,8 +68,13 @@ def test_chat_round_trip(spark, budget):
     rows += [(None, 0, "user", "hi"), (None, 1, "assistant", "ho"), (3, None, "user", "no turn"), (4, 0, "user", "tie"), (4, 0, "user", "tie"), (5, 7, None, None)]
     turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, conv_key int")
     windows = chat.chat_windows(turns, budget=budget)
-    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.window_digests(windows).collect()}
+    digests = chat.window_digests(windows).collect()
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in digests}
     assert got == chat_expected(rows)
+    made = sorted(map(str, windows.collect()))
+    for hot_bytes in (0, 3000):  # all or the larger conversations by the two-level scan
+        assert made == sorted(map(str, chat.chat_windows(turns, budget=budget, hot_bytes=hot_bytes).collect()))
+        assert sorted(map(str, digests)) == sorted(map(str, chat.chat_digests(turns, budget=budget, hot_bytes=hot_bytes).collect()))
     for w in windows.collect():
         turns_of = chat.parse_window(w["formatted"])
         assert w["over_budget"] == (w["window_tokens"] > budget) and len(turns_of) > w["n_repeated"]
