@@ -51,6 +51,8 @@ def escape(col: Column) -> Column:
 
 
 def unescape(text: str) -> str:
+    if "<\\" not in text:
+        return text
     return _UNESCAPE.sub(lambda m: "<" + m[1] + "|", text)
 
 
@@ -60,6 +62,8 @@ def escape_role(col: Column) -> Column:
 
 
 def unescape_role(role: str) -> str:
+    if "\\" not in role:
+        return role
     return unescape(_UNESCAPE_ROLE.sub(lambda m: "\n" if m[1] == "n" else m[1], role))
 
 
@@ -234,13 +238,16 @@ def _digests(ordered: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None
 
-        def row():
-            key, cid, n, full, chars, loss, size = state
-            return pd.DataFrame({"conv_id": pd.array([cid], dtype="Int64"), "n_turns": [n], "turns_sha256": [full.hexdigest()], "loss_chars": [chars], "loss_sha256": [loss.hexdigest()], "formatted_chars": [size]})
+        def row() -> tuple:
+            _, cid, n, full, chars, loss, size = state
+            return cid, n, full.hexdigest(), chars, loss.hexdigest(), size
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
 
         for pdf in batches:
             done = []
-            for key, cid, rep, text, spans in zip(pdf.conv_key, pdf.conv_id, pdf.n_repeated, pdf.formatted, pdf.loss_spans, strict=True):
+            for key, cid, rep, text, starts, lengths in zip(pdf.conv_key, pdf.conv_id, pdf.n_repeated, pdf.formatted, pdf.starts, pdf.lengths, strict=True):
                 if state is None or state[0] != key:
                     if state is not None:
                         done.append(row())
@@ -248,14 +255,19 @@ def _digests(ordered: DataFrame) -> DataFrame:
                 for role, said in parse_window(text)[rep:]:
                     state[2] += 1
                     state[3].update(f"{role}\n{said}\n".encode())
-                for s in spans:
-                    said = unescape(text[s["start"] : s["start"] + s["length"]])
+                for start, length in zip(starts.tolist(), lengths.tolist(), strict=True):
+                    said = unescape(text[start : start + length])
                     state[4] += len(said)
                     state[5].update(said.encode())
                 state[6] += len(text)
             if done:
-                yield pd.concat(done)
+                yield frame(done)
         if state is not None:
-            yield row()
+            yield frame([row()])
 
-    return ordered.mapInPandas(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    # spans as two arrays of integers: structs would reach Python one dict each
+    flat = ordered.select(
+        "conv_key", "conv_id", "n_repeated", "formatted", F.col("loss_spans.start").alias("starts"), F.col("loss_spans.length").alias("lengths"),
+        *(c for c in ordered.columns if c == "place"),
+    )
+    return flat.mapInPandas(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
