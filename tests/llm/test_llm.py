@@ -1,6 +1,7 @@
 """The operators on training data against brute force, round trips and hard cases."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -573,6 +574,30 @@ def test_mixing_hard_cases(spark, monkeypatch):
         mixing.repetition_rates(docs, epochs=10_000.0)
 
 
+def test_mixing_repeats_a_tiny_source_beside_a_large_one(spark, tmp_path, monkeypatch):
+    rows = [(i, "y" * 60_000, "en", "large", 60_000) for i in range(100)] + [(1000 + i, "x" * 10, "en", s, 10) for i, s in enumerate(("tiny", None))]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = Counter((d, s, n, c) for d, s, n, c in con.sql(queries.oracle_sql()["op10_mixing"]).select("doc_id", "source", "n_bytes", "copy").fetchall())
+    assert min(sum(k[1] == s for k in want) for s in ("tiny", None)) > 600
+    monkeypatch.setattr(mixing, "COPIES", 100)
+    assert Counter(rows_of(queries.queries()["op10_mixing"](spark, str(tmp_path)), "doc_id", "source", "n_bytes", "copy")) == want
+
+
+@pytest.mark.parametrize("rate", [500.5, 800.0, 60_000.25, 5e6])
+def test_poisson_inverse_of_large_rates(spark, rate):
+    us = [1e-9, 0.01, 0.3, 0.5, 0.77, 0.999, 1 - 1e-9]  # the logarithms of the check are not exact enough further out
+    low = int(rate - 13 * rate**0.5)
+    ks = np.arange(low, int(rate + 13 * rate**0.5))
+    cdf = np.cumsum(np.exp([k * np.log(rate) - rate - math.lgamma(k + 1) for k in ks.tolist()]))
+    df = spark.createDataFrame([(rate, u) for u in us], "r double, u double")
+    got = [r["n"] for r in df.select(mixing.poisson_inverse(F.col("r"), F.col("u")).alias("n")).collect()]
+    want = (low + np.searchsorted(cdf / cdf[-1], us, side="right")).tolist()
+    assert all(abs(a - b) <= (1 if u < 1e-6 or u > 0.999999 else 0) for a, b, u in zip(got, want, us, strict=True)), (got, want)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
