@@ -209,7 +209,8 @@ class WordEncoder:
     text's ids are those of its pieces, and each distinct piece is encoded once.
     Pieces end at white space and between a letter and a mark of ``.,;:!?``.
     A-Z are lowered first, as the tokenizer would do; not so in batches with
-    combining marks, which form other characters with some small letters.
+    combining marks, which form other characters with some small letters, or with
+    an added token in any letter case, which is matched before letters are lowered.
     Pieces of letters are encoded many at a time and cut apart at the tokens
     that end a word; all others, one by one. Up to ``most`` pieces are remembered.
     """
@@ -224,6 +225,7 @@ class WordEncoder:
         suffix, normalizer = spec["model"].get("end_of_word_suffix"), spec.get("normalizer") or {}
         self.lowers = any(n.get("type") == "Lowercase" for n in (normalizer, *normalizer.get("normalizers", ())))
         special = [t for t in spec.get("added_tokens") or () if t.get("special") and not any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]
+        self.added = [t["content"].encode("utf-8").lower() for t in spec.get("added_tokens") or () if not t.get("normalized")]
         self.mark, self.mark_id = (special[0]["content"], special[0]["id"]) if special else (None, None)
         self.ends = None
         if suffix:
@@ -282,7 +284,9 @@ class WordEncoder:
         raws = [t.encode("utf-8", "replace") for t in texts]
         raw = b" ".join((b"", *raws, b""))
         if self.lowers and b"\xcc" not in raw and b"\xcd" not in raw:
-            raw = raw.lower()
+            lowered = raw.lower()
+            if not any(t in lowered for t in self.added):
+                raw = lowered
         data = np.frombuffer(raw, np.uint8)
         kind = _KIND[data]
         blank = kind == 0

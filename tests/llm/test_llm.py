@@ -395,6 +395,18 @@ def test_token_files(spark, sf_dir):
     assert got == expected_tokens(sorted(rows_of(docs, "doc_id", "text")))
 
 
+def test_token_files_with_special_tokens_in_capitals(spark):
+    texts = ["x <|ENDOFTEXT|> y", "a<|EndOfText|>b <|endoftext|> C", "<|STARTOFTEXT|>", "Plain Words, here", "<|endoftext|><|ENDOFTEXT|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(rows_of(tokens.read_tokens(tokens.write_tokens(docs, queries.tokenizer_path(), 2)), "doc_id", "start", "n_tokens", "ids_crc32"))
+    assert got == expected_tokens(list(enumerate(texts)))
+    encoder = tokens.WordEncoder(queries.tokenizer_path())
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for part in (1, 2, 400):
+        ids, counts = encoder.encode(texts, part=part)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 def test_piece_store_merges_drops_and_tells_equal_hashes_apart():
     rng = np.random.default_rng(6)
     store, known = tokens.PieceStore(600), {}
