@@ -55,6 +55,13 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
+def distinct_sample(rows: DataFrame, max_rows: int, seed: int) -> DataFrame:
+    """The distinct rows, or about ``max_rows`` of them chosen by hash where there are more, however often a row is repeated."""
+    total = rows.agg(F.approx_count_distinct(F.xxhash64(*rows.columns), 0.01).alias("n")).first()["n"]
+    share = min(1.0, max_rows / max(total, 1))
+    return rows.where(F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * share)).distinct()
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not use, in any letter case."""
     taken = {c.lower() for c in df.columns}

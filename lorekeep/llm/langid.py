@@ -4,8 +4,9 @@ Grams of 1 to 3 characters of the lower-cased text are hashed into 2^15 cells.
 The matrix of log-probabilities (cells x languages) is broadcast: its size is
 bounded by the cells and MAX_LANGS. A text's sparse grams gather their rows in numpy.
 
-The model is fitted on a bounded sample of labelled rows: ``max_rows`` (8,000),
-chosen by a hash of text, whole texts each.
+The model is fitted on a bounded sample of labelled texts: ``max_rows`` (8,000)
+distinct pairs of text and language, chosen by hash, whole texts each. Copies of
+a text teach once, so the bound holds for any number of them.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; without any
 labelled row every text is ``und``; rows of null language teach nothing; equal
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import distinct_sample
+
 CELLS, ORDERS, MAX_ROWS, MAX_LANGS, SMOOTH, PIECE = 1 << 15, (1, 2, 3), 8000, 400, 0.5, 1 << 18
 _MULT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -62,9 +65,7 @@ class LangModel:
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> LangModel:
     """A model from rows (text, lang) where both are given."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    total = rows.count()
-    share = min(1.0, max_rows / max(total, 1))
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * share))
+    sample = distinct_sample(rows, max_rows, 11)
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         grams = np.zeros(CELLS, np.int64)

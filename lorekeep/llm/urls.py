@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, staged
+from .common import distinct_sample, fresh_name, staged
 
 MAX_RULES, MAX_TRAIN_ROWS = 1000, 20000
 FEATURES = ("__lex_len", "__lex_host_len", "__lex_path_len", "__lex_depth", "__lex_labels", "__lex_digits", "__lex_entropy", "__lex_params", "__lex_hyphens", "__lex_suffix_len", "__lex_suffix_rate")
@@ -107,13 +107,13 @@ class UrlModel:
 def train(labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS, trees: int = 10, depth: int = 4, seed: int = 42) -> UrlModel:
     """A model from rows (url, blocked boolean).
 
-    It is fitted on at most about ``max_rows`` (20,000) rows, chosen by hash. A
+    It is fitted on at most about ``max_rows`` (20,000) distinct rows, chosen by
+    hash; repeated rows teach once, so the bound holds for any number of them. A
     suffix's statistic is its smoothed share of blocked URLs in the other half
     of the sample for training rows, and in the whole sample for scoring.
     """
     rows = labelled.where("blocked is not null").select("url", F.col("blocked").cast("double").alias("label"))
-    total = rows.count()
-    sample = staged(rows.where(F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_rows / max(total, 1)))).coalesce(2), "urls-sample")
+    sample = staged(distinct_sample(rows, max_rows, seed).repartition(2, "url").sortWithinPartitions("url", "label"), "urls-sample")
     mean = sample.agg(F.avg("label").alias("m")).first()["m"]
     if mean is None or mean in (0.0, 1.0):
         return UrlModel(None, None, mean or 0.0)

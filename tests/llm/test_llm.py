@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lorekeep.llm import chat, decontaminate, langid, mixing, quality, queries, sharding, simhash, suffixes, tokens, urls
+from lorekeep.llm import chat, common, decontaminate, langid, mixing, quality, queries, sharding, simhash, suffixes, tokens, urls
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -298,6 +298,13 @@ def test_url_trees_learn_from_labels(spark):
     assert sum(got[i] == b for i, (_, b) in enumerate(test)) > 0.95 * len(test)
 
 
+def test_url_sample_is_bounded_under_copies(spark):
+    rows = [(f"http://a{i}.org/x", False) for i in range(300)] + [(f"http://b{i}.xyz/y", True) for i in range(300)] + [(f"http://hot{i}.xyz/y", True) for i in range(30)] * 100
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    assert urls.train(labelled, trees=1, depth=1).prior == 330 / 630
+    assert 20 < common.distinct_sample(labelled, 63, 42).count() < 110
+
+
 def test_url_empty_and_clash(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(empty, queries.URL_RULES).count() == 0
@@ -551,6 +558,12 @@ def test_language_accuracy(spark):
     assert (got.lang == got.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_language_sample_is_bounded_under_copies(spark):
+    rows = [(f"plain words {i}", "en") for i in range(400)] + [(f"viel text {i}", "de") for i in range(20)] * 100
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.langs == ("de", "en") and np.allclose(np.exp(model.log_prior), [20 / 420, 400 / 420])
+
+
 def test_language_hard_cases(spark):
     docs = hard_docs(spark).withColumn("lang_", F.lit(1))
     model = langid.fit(docs)
