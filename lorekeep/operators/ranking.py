@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import bm25, corpus_stats, query_terms, with_counts
 from ..functions.vectors import cosine
+from ..scratch import staged
 from .ranks import global_rank
 
 RRF = 60
@@ -114,18 +117,32 @@ def rank(records: DataFrame, ids: Sequence[str], what: Ranking, votes: DataFrame
     return ranked.withColumn("pos", F.col("pos") - 1)
 
 
+#: Queries of a batch search that are broadcast at once.
+BATCH = 10_000
+
+
 def knn_batch(records: DataFrame, ids: Sequence[str], queries: DataFrame, k: int, query_id: str = "query_id", query: str = "query", embedding: str = "embedding") -> DataFrame:
-    """(query_id, ids, score, rank) of the k nearest records for every row of a bounded query set.
+    """(query_id, ids, score, rank) of the k nearest records for every row of a query set.
 
-    The query set is broadcast after a check of its size. A window on the map
+    A set of up to BATCH rows is broadcast; a larger one is walked in blocks of
+    about as many, by a hash of the id, each staged. A window on the map
     side would keep all pairs; instead each query's best k are cut twice, within
     hash parts of the records and then over the parts' winners.
     """
-    held = queries.select(query_id, query).collect()
-    if len(held) > 10_000:
-        raise ValueError("more than 10,000 queries; send them in blocks")
+    wanted = queries.select(query_id, query)
+    held = wanted.limit(BATCH + 1).collect()
+    if len(held) <= BATCH:
+        return _knn_block(records, ids, held, wanted.schema, k, query_id, query, embedding)
+    wanted = staged(wanted, "knn-queries")
+    blocks = -(-wanted.count() // BATCH)
+    of = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    done = [staged(_knn_block(records, ids, wanted.where(of == i).collect(), wanted.schema, k, query_id, query, embedding), "knn-block") for i in range(blocks)]
+    return reduce(DataFrame.unionByName, done)
+
+
+def _knn_block(records: DataFrame, ids: Sequence[str], held: list, schema: StructType, k: int, query_id: str, query: str, embedding: str) -> DataFrame:
     parts = records.withColumn("__part", F.pmod(F.xxhash64(*ids), F.lit(64)))
-    small = queries.sparkSession.createDataFrame(held, queries.select(query_id, query).schema)
+    small = records.sparkSession.createDataFrame(held, schema)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     pairs = parts.select(*ids, "__part", F.col(embedding).alias("__e"), norm(F.col(embedding)).alias("__ne")).crossJoin(F.broadcast(small.withColumn("__nq", norm(F.col(query)))))

@@ -153,6 +153,15 @@ def knn_batch_50(spark, d):
     return knn_batch(df, ["vec_id"], queries, 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("""SELECT query_id, vec_id, rank, round(s, 6)::DOUBLE AS score FROM (
+SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS INTEGER) AS rank
+FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q) WHERE rank <= 10""")
+def knn_batch_hundredths(spark, d):
+    df = table(spark, d, "embeddings")
+    queries = df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return knn_batch(df, ["vec_id"], queries, 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 # ------------------------------------------------------------------ votes
 
 

@@ -12,7 +12,7 @@ from lorekeep.model import RecordId
 from lorekeep.operators import graph
 from lorekeep.operators.ann import Exact, RandomProjection
 from lorekeep.operators.metrics import recall_precision, relevant_of
-from lorekeep.operators.ranking import Knn, Lexical, Ranking, rank
+from lorekeep.operators.ranking import Knn, Lexical, Ranking, knn_batch, rank
 from lorekeep.operators.ranks import global_rank
 from lorekeep.operators.votes import vote_aggregates
 from lorekeep.plans.nodes import Insert, Relate, Select
@@ -274,6 +274,13 @@ def test_vector_index_top_hit(spark, sf_dir):
     assert Exact().rank(df, ["vec_id"], q, 1).first()["vec_id"] == RandomProjection().rank(df, ["vec_id"], q, 3).first()["vec_id"] == 5
 
 
+def test_batch_search_walks_large_query_sets_in_blocks(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.0])], "id long, embedding array<double>")
+    at = [(i, [1.0, 0.1] if i % 2 else [-1.0, 0.1]) for i in range(10_050)]
+    got = knn_batch(df, ["id"], spark.createDataFrame(at, "query_id long, query array<double>"), 1).collect()
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == [(i, 0 if i % 2 else 2, 1) for i, _ in at]
+
+
 def test_nan_scores_go_last(spark):
     df = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.0])], "id long, embedding array<float>")
     got = rank(df, ["id"], Ranking(Knn((1.0, 0.0), 3))).collect()
