@@ -26,7 +26,10 @@ class Exact:
 
 
 class RandomProjection:
-    """Candidates from bucketed random projections of unit vectors, ranked by exact cosine. May miss neighbours."""
+    """Candidates from bucketed random projections of unit vectors, ranked by exact cosine. May miss neighbours.
+
+    Records without an embedding are candidates of score 0, as in ``Exact``.
+    """
 
     def __init__(self, bucket: float = 1.0, tables: int = 8, seed: int = 42):
         self.bucket, self.tables, self.seed = bucket, tables, seed
@@ -37,4 +40,6 @@ class RandomProjection:
         unit = df.where("embedding is not null").withColumn("__u", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-30)))))
         model = BucketedRandomProjectionLSH(inputCol="__u", outputCol="__h", bucketLength=self.bucket, numHashTables=self.tables, seed=self.seed).fit(unit)
         near = model.approxNearestNeighbors(unit, Vectors.dense([x / length for x in query]), k).drop("__u", "__h", "distCol")
-        return near.withColumn("score", cosine(F.col("embedding"), query)).orderBy(F.desc("score"), *ids)
+        missing = df.where("embedding is null").orderBy(*ids).limit(k)
+        scored = near.withColumn("score", cosine(F.col("embedding"), query)).unionByName(missing.withColumn("score", F.lit(0.0)))
+        return scored.orderBy(F.desc("score"), *ids).limit(k)

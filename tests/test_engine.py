@@ -274,6 +274,16 @@ def test_vector_index_top_hit(spark, sf_dir):
     assert Exact().rank(df, ["vec_id"], q, 1).first()["vec_id"] == RandomProjection().rank(df, ["vec_id"], q, 3).first()["vec_id"] == 5
 
 
+def test_vector_index_recall_and_missing_embeddings(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").cache()
+    ids = lambda index, table, q: [r["vec_id"] for r in index.rank(table, ["vec_id"], q, 10).collect()]
+    at = [list(r["embedding"]) for r in df.where("vec_id % 100 = 0").orderBy("vec_id").limit(5).collect()]
+    hits = sum(len(set(ids(RandomProjection(), df, q)) & set(ids(Exact(), df, q))) for q in at)
+    assert hits >= 0.9 * 10 * len(at), hits
+    some = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [-1.0, 0.0]), (4, None)], "vec_id long, embedding array<double>")
+    assert ids(RandomProjection(), some, [1.0, 0.0])[:3] == ids(Exact(), some, [1.0, 0.0])[:3] == [1, 2, 4]
+
+
 def test_batch_search_walks_large_query_sets_in_blocks(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.0])], "id long, embedding array<double>")
     at = [(i, [1.0, 0.1] if i % 2 else [-1.0, 0.1]) for i in range(10_050)]
