@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept; all but the last return the columns of documents.
+
+Cases: null and empty texts have too few words and go in the first stage; null
+ids, languages and sources stay, a null source being a source of its own in
+mixing; rows that repeat id and text count as one document and one of them
+stays; of equal or near texts under several ids the least id stays; texts of any
+length are read whole; extra columns are carried through all stages, but a
+column ``shard`` is refused by the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +18,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm import decontaminate, mixing, quality, sharding, simhash
-from lorekeep.llm.common import shared_dir, table
+from lorekeep.llm.common import table
+from lorekeep.scratch import delete, scope, shared_dir
 
 SHARDS = 24
 
@@ -37,7 +45,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def virtual_slot_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the shard of each row."""
+    """Adds the shard of each row, by a map that is stored and read back."""
     return sharding.shard_documents(docs, SHARDS)
 
 
@@ -51,8 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/lorekeep/pipeline-{uuid.uuid4().hex}"
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        path = f"{shared_dir(spark)}/lorekeep/pipeline-{name}-{uuid.uuid4().hex}"
+        with scope(spark):  # what a stage stages goes once its rows are written, as do its predecessor's rows
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            delete(spark, last)
+        last = path
     return docs

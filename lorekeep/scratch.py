@@ -4,30 +4,66 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder, which only a local master may use."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir is unset: executors of {master} and the driver share no temporary folder")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
     return _own[app]
 
 
+def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path in the shared folder that nothing uses yet; ``keep``: no ``scope`` deletes it."""
+    path = f"{shared_dir(spark)}/lorekeep/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _made.append(path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Written once and read back: rows, partitions and order numbers are then stable for all readers."""
-    path = f"{shared_dir(df.sparkSession)}/lorekeep/{name}-{uuid.uuid4().hex}"
+    """Written once and read back: rows, partitions and order numbers are then stable for all readers.
+
+    This cuts the lineage too, so that a lost executor costs a re-read and not a recomputation.
+    """
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was staged within. Results that are still to be read must be written before."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            delete(spark, path)
+        del _made[before:]
+
+
 class Growing:
     """A table that grows by parts; parts of similar size merge, so a row is rewritten about log2(rows) times at most."""
 
