@@ -1,46 +1,18 @@
-"""Shared helpers: scratch tables, null-safe keys, documents I/O."""
+"""Shared helpers: null-safe keys, names, samples, joins with hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space; every operator of this subpackage splits words on it.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_fallback: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where a session names none (single-machine tests) a temporary folder
-    is made and set as the checkpoint folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
-        spark.sparkContext.setCheckpointDir(_fallback[app])
-    return _fallback[app]
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+from ..scratch import fresh_path, shared_dir, staged
 
-    This cuts the lineage so that a lost executor costs a re-read and not a
-    recomputation, and makes the rows stable for every later reader.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorekeep/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["WORD", "distinct_sample", "fresh_name", "fresh_path", "null_safe_key", "refuse", "shared_dir", "skew_join", "staged", "table", "text_or_empty"]
 
+#: ASCII white space; every operator of this subpackage splits words on it.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,3 +41,21 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def refuse(df_columns: Sequence[str], *made: str) -> None:
+    """An error, on the driver, if a column has the name of one that is to be made."""
+    taken = {c.lower() for c in df_columns}
+    if clash := [c for c in made if c.lower() in taken]:
+        raise ValueError(f"the input has columns {clash}")
+
+
+def skew_join(big: DataFrame, small: DataFrame, key: str, n: str, hot_rows: int, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has one row a key and, in ``n``, how many rows of ``big`` have that key.
+
+    Keys of over ``hot_rows`` rows do not go to one task each: they are at most
+    rows / ``hot_rows`` many, their rows of ``small`` are broadcast.
+    """
+    hot = F.broadcast(small.where(F.col(n) > hot_rows))
+    cold = big.join(hot.select(key), key, "left_anti").join(small.where(F.col(n) <= hot_rows).drop(n), key, how)
+    return cold.unionByName(big.join(hot.drop(n), key))

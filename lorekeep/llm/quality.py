@@ -5,6 +5,9 @@ estimated on a bounded sample; rules run in the order of rejections per cost and
 a later rule is evaluated only for rows that all earlier rules keep. The order
 changes cost alone: a row is kept if no rule rejects it.
 
+The sample is drawn by a scan with as many tasks as the table has splits; of a
+table of many files it reads ``SAMPLE_FILES``, chosen by hash.
+
 Cases: null text has no words, like empty text, and fails ``few_words``; a very
 long text is one row of arrays of its words; repeated rows are judged alike; an
 empty table gives an empty result; columns of the input keep their names, and
@@ -14,16 +17,18 @@ clashing names are avoided for temporary columns.
 from __future__ import annotations
 
 import time
+import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, staged, text_or_empty
+from .common import fresh_name, refuse, staged, text_or_empty
 
 SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SAMPLE_FILES = 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,29 +42,26 @@ def words(text: Column) -> Column:
     return F.when(F.octet_length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def count_ascii(text: Column, chars: str) -> Column:
-    total = F.lit(0)
-    for c in chars:
-        total = total + (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))))
-    return total.cast("long")
-
-
 def n_words(ws: Column) -> Column:
     return F.size(ws).cast("long")
 
 
 def word_chars(text: Column) -> Column:
-    return F.char_length(text).cast("long") - count_ascii(text, SPACES)
+    return F.char_length(text).cast("long") - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return count_ascii(text, SYMBOLS)
+    return F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long")
 
 
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: F.octet_length(F.trim(line, F.lit(SPACES))) > 0)
 
 
+def n_lines(text: Column) -> Column:
+    return F.size(_lines(text)).cast("long")
+
+
 def n_dup_lines(text: Column) -> Column:
     return let(_lines(text), lambda ls: (F.size(ls) - F.size(F.array_distinct(ls)))).cast("long")
 
@@ -89,23 +91,40 @@ def n_repeat_words(ws: Column, width: int = 5) -> Column:
     return F.when(F.size(ws) <= width, F.lit(0)).otherwise(let(hashes(ws), repeated)).cast("long")
 
 
+class Measures:
+    """What rules look at, of a text that is never null and its words; ``known``: measures that are columns already."""
+
+    def __init__(self, text: Column, ws: Column | None, **known: Column):
+        self.text, self.ws, self.known = text, ws, known
+
+    def __getattr__(self, name: str) -> Column:
+        if name in self.known:
+            return self.known[name]
+        if name in ("n_words", "n_repeat_words"):
+            return globals()[name](self.ws)
+        if name in ("word_chars", "n_symbols", "n_dup_lines", "n_lines"):
+            return globals()[name](self.text)
+        raise AttributeError(name)
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` maps a (never null) text and its words to a boolean column."""
+    """``rejects`` maps measures to a boolean column."""
 
     name: str
-    rejects: Callable[[Column, Column], Column]
+    rejects: Callable[[Measures], Column]
 
 
 #: The first two are the base rules; the limits of the others lie far from running prose.
 RULES: tuple[Rule, ...] = (
-    Rule("few_words", lambda t, w: n_words(w) < 10),
-    Rule("repeated_words", lambda t, w: 100 * n_repeat_words(w) > 20 * n_words(w)),
-    Rule("symbols", lambda t, w: 100 * n_symbols(t) > 10 * n_words(w)),
-    Rule("shouting", lambda t, w: 100 * F.regexp_count(t, F.lit("!!")) > 20 * n_words(w)),
-    Rule("repeated_lines", lambda t, w: 100 * n_dup_lines(t) > 30 * F.size(_lines(t))),
-    Rule("word_length", lambda t, w: (word_chars(t) < 2 * n_words(w)) | (word_chars(t) > 25 * n_words(w))),
+    Rule("few_words", lambda m: m.n_words < 10),
+    Rule("repeated_words", lambda m: 100 * m.n_repeat_words > 20 * m.n_words),
+    Rule("symbols", lambda m: 100 * m.n_symbols > 10 * m.n_words),
+    Rule("shouting", lambda m: 100 * F.regexp_count(m.text, F.lit("!!")) > 20 * m.n_words),
+    Rule("repeated_lines", lambda m: 100 * m.n_dup_lines > 30 * m.n_lines),
+    Rule("word_length", lambda m: (m.word_chars < 2 * m.n_words) | (m.word_chars > 25 * m.n_words)),
 )
+BASE = ("few_words", "repeated_words")
 
 
 @dataclass(frozen=True)
@@ -119,19 +138,34 @@ class RuleCost:
         return self.rejected / max(self.seconds, 1e-6)
 
 
+def _sampled_files(docs: DataFrame) -> DataFrame:
+    """The rows of SAMPLE_FILES of the files that ``docs`` scans, where it scans more and its rows know their file."""
+    files = docs.inputFiles()
+    if len(files) <= SAMPLE_FILES:
+        return docs
+    chosen = sorted(files, key=lambda f: zlib.crc32(f.encode()))[:SAMPLE_FILES]
+    try:
+        some = docs.where(F.col("_metadata.file_path").isin(chosen))
+        return some if some.limit(1).count() else docs
+    except AnalysisException:
+        return docs
+
+
 def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000) -> list[RuleCost]:
     """Cost and selectivity of each rule on about ``sample_rows`` rows, best rejection per cost first.
 
     Words are cut once for all rules, so they belong to no rule's cost.
     """
-    text = docs.select(text_or_empty(F.col("text")).alias("text"))
-    total = docs.count()
+    some = _sampled_files(docs)
+    total = some.count()
     share = min(1.0, sample_rows / total) if total else 1.0
-    sample = staged(text.sample(share, seed=7).withColumn("w", words(F.col("text"))).coalesce(2), "quality-sample")
+    # rows are sampled where they are scanned; only the sample meets in two tasks
+    picked = some.select(text_or_empty(F.col("text")).alias("text")).sample(share, seed=7).repartition(2)
+    sample = staged(picked.withColumn("w", words(F.col("text"))), "quality-sample")
     n = max(sample.count(), 1)
     found = []
     for rule in rules:
-        hits = sample.agg(F.count_if(rule.rejects(F.col("text"), F.col("w"))).alias("hits"))
+        hits = sample.agg(F.count_if(rule.rejects(Measures(F.col("text"), F.col("w")))).alias("hits"))
         rejected = hits.first()["hits"] / n  # also warms the compiled code up
         began = time.perf_counter()
         hits.first()
@@ -139,24 +173,23 @@ def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int =
     return sorted(found, key=lambda c: (-c.rank, c.rule.name))
 
 
-def cascade(text: Column, ws: Column, ordered: Sequence[Rule]) -> Column:
+def cascade(measures: Measures, ordered: Sequence[Rule]) -> Column:
     """The name of the first rule, in this order, that rejects; null if none does."""
     verdict = F.lit(None).cast("string")
     for rule in reversed(ordered):
-        verdict = F.when(rule.rejects(text, ws), F.lit(rule.name)).otherwise(verdict)
+        verdict = F.when(rule.rejects(measures), F.lit(rule.name)).otherwise(verdict)
     return verdict
 
 
 def first_rejection(text: Column, ordered: Sequence[Rule]) -> Column:
     """``cascade`` over a text whose words are cut once."""
-    return let(words(text), lambda w: cascade(text, w, ordered))
+    return let(words(text), lambda w: cascade(Measures(text, w), ordered))
 
 
 def quality_verdicts(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000, column: str = "rejected_by") -> DataFrame:
     """All columns of ``docs`` and ``column``: which rule of the cascade rejects the row first, or null."""
+    refuse(docs.columns, column)
     ordered = [c.rule for c in estimate(docs, rules, sample_rows)]
-    if column.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs has a column {column}")
     return docs.withColumn(column, first_rejection(text_or_empty(F.col("text")), ordered))
 
 
@@ -167,19 +200,22 @@ def quality_filter(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows:
 
 
 def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000) -> DataFrame:
-    """doc_id, the base measures, base_failed and kept, for every row of docs (doc_id, text)."""
-    base = ("few_words", "repeated_words")
-    rest = [r for r in rules if r.name not in base]
-    ordered = [c.rule for c in estimate(docs, rest, sample_rows)]
+    """doc_id, the base measures, base_failed and kept, for every row of docs (doc_id, text).
+
+    The measures are taken once; the cascade of the other rules runs over them,
+    for the rows that the base rules keep.
+    """
+    ordered = [c.rule for c in estimate(docs, [r for r in rules if r.name not in BASE], sample_rows)]
     t = F.col("t")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    def measures(w: Column) -> Column:
-        return F.struct(
-            n_words(w).alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"),
-            n_repeat_words(w).alias("n_repeat_words"), cascade(t, w, ordered).alias("verdict"),
-        )
+    def measured(w: Column) -> Column:
+        m = Measures(t, w)
+        lines = let(_lines(t), lambda ls: F.struct(F.size(ls).cast("long").alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("dup")))
+        return F.struct(*[getattr(m, n).alias(n) for n in names if n != "n_dup_lines"], lines.alias("lines"))
 
-    measured = docs.select("doc_id", text_or_empty(F.col("text")).alias("t")).select("doc_id", let(words(t), measures).alias("m"))
-    failed = (F.col("m.n_words") < 10) | (100 * F.col("m.n_repeat_words") > 20 * F.col("m.n_words"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return measured.select("doc_id", *[F.col(f"m.{n}").alias(n) for n in names], failed.alias("base_failed"), (~failed & F.col("m.verdict").isNull()).alias("kept"))
+    rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("t")).select("doc_id", "t", let(words(t), measured).alias("m"))
+    known = {n: F.col(f"m.{n}") for n in names if n != "n_dup_lines"} | {"n_dup_lines": F.col("m.lines.dup"), "n_lines": F.col("m.lines.n")}
+    failed = (known["n_words"] < 10) | (100 * known["n_repeat_words"] > 20 * known["n_words"])
+    kept = F.when(failed, F.lit(False)).otherwise(cascade(Measures(t, None, **known), ordered).isNull())
+    return rows.select("doc_id", *[known[n].alias(n) for n in names], failed.alias("base_failed"), kept.alias("kept"))
