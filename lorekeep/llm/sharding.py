@@ -7,9 +7,14 @@ and never rehashes records.
 A slot that alone holds over a quarter of a mean shard (one id or one repeated
 row behind a large share of the rows) is split into sub-slots, dealt by row.
 
+Maps are rows of a table, one per slot: version, shards, slot, shard, bytes and
+the shard that the slot came from in this version. Placing records writes the
+first version and reads it back; with a table that has versions, the last one
+is used, and a new number of shards edits it.
+
 Cases: null text counts as no bytes; null ids hash with their text; repeated
-rows are rows of their own; extra columns are kept; an empty table gives an
-empty result and a map of empty slots.
+rows are rows of their own; extra columns are kept, and one named ``shard`` is
+refused; an empty table gives an empty result and a map of empty slots.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_name, staged
+from .common import fresh_name, fresh_path, refuse, staged
 
 SLOTS, SPLIT, ROW_BYTES = 8192, 64, 8
 
@@ -34,15 +39,18 @@ class SlotMap:
     shard_of: tuple[int, ...]
     hot: tuple[int, ...] = ()
     version: int = 1
+    sizes: tuple[int, ...] = field(default=(), compare=False)  # bytes of each slot
     moved: tuple[tuple[int, int, int], ...] = field(default=(), compare=False)  # (slot, from, to) of this version
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.version, self.n_shards, s, d) for s, d in enumerate(self.shard_of)], "version int, n_shards int, vslot int, shard int")
+        came = {s: a for s, a, _ in self.moved}
+        sizes = self.sizes or (None,) * len(self.shard_of)
+        rows = [(self.version, self.n_shards, s, d, b, came.get(s), list(self.hot)) for s, (d, b) in enumerate(zip(self.shard_of, sizes, strict=True))]
+        return spark.createDataFrame(rows, "version int, n_shards int, vslot int, shard int, bytes long, moved_from int, hot array<int>")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Appends this version to the table of maps at ``path``."""
-        hot = F.array(*[F.lit(h) for h in self.hot]).cast("array<int>")
-        self.frame(spark).withColumn("hot", hot).coalesce(1).write.mode("append").parquet(path)
+        self.frame(spark).coalesce(1).write.mode("append").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -51,7 +59,14 @@ class SlotMap:
         rows = sorted(every.where(F.col("version") == version).collect(), key=lambda r: r["vslot"])  # bounded by the slots
         if not rows:
             raise ValueError(f"no version {version}")
-        return cls(rows[0]["n_shards"], tuple(r["shard"] for r in rows), tuple(rows[0]["hot"]), version)
+        sizes = () if rows[0]["bytes"] is None else tuple(r["bytes"] for r in rows)
+        moved = tuple((r["vslot"], r["moved_from"], r["shard"]) for r in rows if r["moved_from"] is not None)
+        return cls(rows[0]["n_shards"], tuple(r["shard"] for r in rows), tuple(rows[0]["hot"]), version, sizes, moved)
+
+
+def _has_maps(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def record_size(text: Column) -> Column:
@@ -81,12 +96,14 @@ def assign(sizes: dict[int, int], n_slots: int, n_shards: int) -> list[int]:
     return shard_of
 
 
-def rebalance(old: SlotMap, sizes: dict[int, int], n_shards: int | None = None, tolerance: float = 0.02) -> SlotMap:
+def rebalance(old: SlotMap, sizes: dict[int, int] | None = None, n_shards: int | None = None, tolerance: float = 0.02) -> SlotMap:
     """The next version: slots move from the heaviest to the lightest shard until all are within ``tolerance`` of the mean.
 
     A shard that is no longer there gives up all its slots first. Each move
-    lowers the heavier of its two shards, so it ends.
+    lowers the heavier of its two shards, so it ends. ``sizes``: bytes of slots
+    now, by default those that the old map holds.
     """
+    sizes = dict(enumerate(old.sizes)) if sizes is None else sizes
     n = n_shards or old.n_shards
     shard_of, moved = list(old.shard_of), []
     load, members = [0] * n, [set() for _ in range(n)]
@@ -116,56 +133,84 @@ def rebalance(old: SlotMap, sizes: dict[int, int], n_shards: int | None = None,
         if not fitting:
             break
         move(min(fitting, key=lambda s: (abs(sizes[s] - gap / 2), s)), lo)
-    return replace(old, n_shards=n, shard_of=tuple(shard_of), version=old.version + 1, moved=tuple(moved))
+    came = {}
+    for s, a, _ in moved:  # a slot may move twice; where it came from counts
+        came.setdefault(s, a)
+    listed = tuple((s, a, shard_of[s]) for s, a in sorted(came.items()) if shard_of[s] != a)
+    return replace(old, n_shards=n, shard_of=tuple(shard_of), version=old.version + 1, sizes=tuple(sizes.get(s, 0) for s in range(len(shard_of))), moved=listed)
 
 
 def build_map(located: DataFrame, n_shards: int, slots: int = SLOTS) -> SlotMap:
-    """A first map from rows (base int, size long)."""
+    """A first map from rows (base int, size long, salt long): bytes are summed per slot, and per sub-slot of hot slots."""
     sums = located.groupBy("base").agg(F.sum("size").alias("b")).collect()  # one row a slot
     total = sum(r["b"] for r in sums)
     hot = tuple(sorted(r["base"] for r in sums if r["b"] > max(total / n_shards / 4, 0) and r["b"] > total / slots * 64))
     sizes = {r["base"]: r["b"] for r in sums if r["base"] not in hot}
-    heavy = {r["base"]: r["b"] for r in sums}
-    for k, h in enumerate(hot):
-        sizes |= {slots + SPLIT * k + i: heavy[h] // SPLIT for i in range(SPLIT)}
-    return SlotMap(n_shards, tuple(assign(sizes, slots + SPLIT * len(hot), n_shards)), hot)
+    if hot:
+        split = located.where(F.col("base").isin(*hot)).groupBy(placed_slot(F.col("base"), hot, F.col("salt"), slots).alias("v")).agg(F.sum("size").alias("b"))
+        sizes |= {r["v"]: r["b"] for r in split.collect()}  # SPLIT rows a hot slot
+    n = slots + SPLIT * len(hot)
+    return SlotMap(n_shards, tuple(assign(sizes, n, n_shards)), hot, 1, tuple(sizes.get(s, 0) for s in range(n)))
 
 
-def shard_documents(docs: DataFrame, n_shards: int, slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
-    """All columns of ``docs`` and ``shard``; no row is shuffled, the map of some thousand slots is broadcast."""
-    if "shard" in {c.lower() for c in docs.columns}:
-        raise ValueError("docs has a column shard")
-    base = base_slot(F.col("doc_id"), F.col("text"), slots)
-    slot_map = slot_map or build_map(docs.select(base.alias("base"), record_size(F.col("text")).alias("size")), n_shards, slots)
-    name = fresh_name(docs, "vslot")
-    small = slot_map.frame(docs.sparkSession).select(F.col("vslot").alias(name), "shard")
-    return docs.withColumn(name, placed_slot(base, slot_map.hot, F.monotonically_increasing_id(), slots)).join(F.broadcast(small), name).drop(name)
+def current_map(located: DataFrame, n_shards: int, slots: int = SLOTS, maps: str | None = None) -> SlotMap:
+    """The last version at ``maps``, edited and saved as the next if it has another number of shards; without one, a first version.
+
+    What is used is what was read back. By default a table of its own is made in the shared folder.
+    """
+    spark = located.sparkSession
+    path = maps or fresh_path(spark, "slot-maps", keep=True)
+    if not _has_maps(spark, path):
+        build_map(located, n_shards, slots).save(spark, path)
+    found = SlotMap.load(spark, path)
+    if found.n_shards != n_shards:
+        rebalance(found, n_shards=n_shards).save(spark, path)
+        found = SlotMap.load(spark, path)
+    if len(found.shard_of) != slots + SPLIT * len(found.hot):
+        raise ValueError(f"the maps at {path} are not of {slots} slots")
+    return found
+
+
+def _located(docs: DataFrame, slots: int) -> dict[str, Column]:
+    return {
+        "size": record_size(F.col("text")), "base": base_slot(F.col("doc_id"), F.col("text"), slots), "salt": F.monotonically_increasing_id(),
+    }
+
+
+def shard_documents(docs: DataFrame, n_shards: int, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
+    """All columns of ``docs`` and ``shard``; no row is shuffled, the map of some thousand slots is broadcast.
+
+    ``maps``: the table of slot maps, see ``current_map``.
+    """
+    refuse(docs.columns, "shard")
+    at = _located(docs, slots)
+    found = current_map(docs.select(*[c.alias(n) for n, c in at.items()]), n_shards, slots, maps)
+    name, salt = fresh_name(docs, "vslot"), fresh_name(docs, "salt")
+    small = found.frame(docs.sparkSession).select(F.col("vslot").alias(name), "shard")
+    # rows are numbered in a column of their own: within a condition only some would be
+    numbered = docs.withColumn(salt, at["salt"])
+    return numbered.withColumn(name, placed_slot(at["base"], found.hot, F.col(salt), slots)).join(F.broadcast(small), name).drop(name, salt)
 
 
-def shard_placement(docs: DataFrame, n_shards: int, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot for every row.
+def shard_placement(docs: DataFrame, n_shards: int, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version for every row.
 
     ``slot`` is the row's place in its shard, without gaps from 0: places
     before its virtual slot, which come from the slots' counts, plus its rank
     within the virtual slot.
     """
-    narrow = staged(docs.select(
-        "doc_id", record_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
-        base_slot(F.col("doc_id"), F.col("text"), slots).alias("base"), F.monotonically_increasing_id().alias("salt"),
-    ), "shard-sizes")
-    slot_map = build_map(narrow, n_shards, slots)
-    placed = narrow.withColumn("vslot", placed_slot(F.col("base"), slot_map.hot, F.col("salt"), slots))
-    stats = placed.groupBy("vslot").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()  # bounded by the slots
-    if slot_map.hot:
-        slot_map = replace(slot_map, shard_of=tuple(assign({r["vslot"]: r["b"] for r in stats}, len(slot_map.shard_of), n_shards)))
+    narrow = staged(docs.select("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), *[c.alias(n) for n, c in _located(docs, slots).items()]), "shard-sizes")
+    found = current_map(narrow, n_shards, slots, maps)
+    placed = narrow.withColumn("vslot", placed_slot(F.col("base"), found.hot, F.col("salt"), slots))
+    stats = placed.groupBy("vslot").agg(F.count("*").alias("n")).collect()  # bounded by the slots
     taken, rows = [0] * n_shards, []
     for r in sorted(stats, key=lambda r: r["vslot"]):
-        d = slot_map.shard_of[r["vslot"]]
+        d = found.shard_of[r["vslot"]]
         rows.append((r["vslot"], d, taken[d]))
         taken[d] += r["n"]
     small = docs.sparkSession.createDataFrame(rows, "vslot int, shard int, before long")
     rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "salt"))
     return placed.join(F.broadcast(small), "vslot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + rank - 1).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "vslot",
+        F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(found.version).alias("map_version"),
     )
