@@ -4,21 +4,27 @@ Fingerprints: 64 bits from the XXH64 hashes of 4-word shingles. Two texts link
 if their fingerprints differ in at most ``radius`` bits; a class is a connected
 component of links.
 
-Method: tiled exact comparison. Distinct fingerprints are dealt into tiles of
-one population count each; only tile pairs whose population counts differ by at
-most the radius meet (Hamming distance is never below that difference). Within
-a pair numpy takes the exclusive-or and its bit counts in blocks, skipping
-blocks whose counts over four 16-bit quarters differ beyond the radius in sum.
-Comparison stays exact, so it is quadratic in distinct fingerprints; the skipped
-pairs lower the constant.
-
-A tile pair yields a spanning forest of its links, never all pairs of a group;
-forests are joined by alternating large-star and small-star steps.
+Method: tiled exact comparison. Distinct fingerprints are sorted by their bit
+counts, over the whole, the two halves, the quarters and the bytes, and cut into
+tiles. A tile knows the least and greatest of each count. Two fingerprints
+differ in at least as many bits as their counts differ in sum, so tile pairs
+whose counts lie further apart than the radius, at any of the four widths, are
+skipped before anything is sent. A task has one tile and up to ``PARTNERS``
+others; numpy takes the exclusive-or and its bit counts in blocks, skipping
+pairs of blocks by the same test. Comparison stays exact, so it is quadratic in
+distinct fingerprints in the end; the finer counts lower its constant, and more
+so the denser the fingerprints lie.
+
+A task yields a spanning forest of its links, never all pairs of a group;
+forests are joined by alternating large-star and small-star steps, and nodes of
+many links are not put into one task.
 
 Cases: null and empty texts have no words and the fingerprint zero; equal texts
 and repeated rows share a fingerprint and so a class; null ids take part, and a
-class of null ids alone has a null class id; extra columns are ignored; an empty
-table gives an empty result.
+class of null ids alone has a null class id; very long texts are hashed whole;
+extra columns are ignored (``simhash_dedup`` keeps them, temporary names avoid
+them); of rows that repeat id and text any one stays; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,12 +34,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, staged
+from ..scratch import delete
+from .common import fresh_name, skew_join, staged
 
-SHINGLE, RADIUS, TILE_ROWS, BLOCK, SALTS = 4, 4, 32768, 1024, 16
+SHINGLE, RADIUS, BLOCK, STRIP, PARTNERS, SALTS, PAIRS = 4, 4, 64, 4096, 64, 16, 1 << 20
+#: Bit counts that sort fingerprints, and their bits in the sort key; the others follow from them.
+_KEY = ((1, 6), (2, 6), (3, 5), (5, 5), (7, 4), (9, 4), (11, 4), (13, 4))
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = 42) -> int:
@@ -84,93 +94,162 @@ def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def tile_links(left: np.ndarray, right: np.ndarray, same: bool, radius: int = RADIUS, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges over the fingerprints of two tiles (uint64); ``same``: both are one tile."""
-
-    def prepared(x):
-        quarters = np.bitwise_count(x.view(np.uint16).reshape(-1, 4)).astype(np.int64)
-        order = np.lexsort(quarters.T[::-1])
-        x, quarters = x[order], quarters[order]
-        cuts = range(0, len(x), block)
-        return x, np.array([quarters[c : c + block].min(0) for c in cuts]), np.array([quarters[c : c + block].max(0) for c in cuts])
-
-    if not len(left) or not len(right):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    a, alo, ahi = prepared(left)
-    b, blo, bhi = (a, alo, ahi) if same else prepared(right)
-    shift = 0 if same else len(a)
-    parent = np.arange(len(a) + (0 if same else len(b)))
+def bit_counts(fps: np.ndarray) -> np.ndarray:
+    """Of each fingerprint (uint64) the bit counts of the whole, 2 halves, 4 quarters and 8 bytes."""
+    eighths = np.bitwise_count(fps.view(np.uint8).reshape(-1, 8)).astype(np.int16)
+    quarters = eighths.reshape(-1, 4, 2).sum(2, dtype=np.int16)
+    halves = quarters.reshape(-1, 2, 2).sum(2, dtype=np.int16)
+    return np.concatenate((halves.sum(1, dtype=np.int16)[:, None], halves, quarters, eighths), axis=1)
+
+
+def sort_key(counts: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(counts), np.int64)
+    for column, bits in _KEY:
+        key = (key << bits) | counts[:, column]
+    return key
+
+
+def gaps(lo: np.ndarray, hi: np.ndarray, other_lo: np.ndarray, other_hi: np.ndarray) -> np.ndarray:
+    """In how many bits members of boxes of counts differ at least from members of one other box."""
+    g = np.maximum(0, np.maximum(lo - other_hi, other_lo - hi))
+    return np.maximum.reduce([g[:, 0], g[:, 1:3].sum(1), g[:, 3:7].sum(1), g[:, 7:].sum(1)])
+
+
+def _blocks(fps: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted fingerprints, least and greatest counts of each block)."""
+    counts = bit_counts(fps)
+    order = np.argsort(sort_key(counts), kind="stable")
+    cuts, counts = np.arange(0, len(fps), block), counts[order]
+    return fps[order], np.minimum.reduceat(counts, cuts), np.maximum.reduceat(counts, cuts)
+
+
+def tile_links(own: np.ndarray, others: list[np.ndarray], radius: int = RADIUS, block: int = BLOCK, strip: int = STRIP) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges over the links between a tile and other tiles (uint64); ``own`` itself may be one of them."""
+    none = np.empty(0, np.uint64)
+    others = [o for o in others if len(o)]
+    if not len(own) or not others:
+        return none, none
+    a, alo, ahi = _blocks(own, block)
+    sides = [_blocks(o, block) for o in others]
+    b, blo, bhi = (np.concatenate([s[k] for s in sides]) for k in range(3))
+    # blocks do not span tiles, so the last one of a tile may be short
+    before = np.cumsum([0] + [len(s[0]) for s in sides])
+    begin = np.concatenate([np.arange(0, len(s[0]), block) + at for s, at in zip(sides, before[:-1], strict=True)])
+    size = np.diff(np.append(begin, len(b)))
+    node = np.concatenate([np.arange(len(a)) if o is own else np.arange(len(o)) + len(a) + at for o, at in zip(others, before[:-1], strict=True)])
+    parent, held, n_held = np.arange(len(a) + len(b)), [], 0
+    bits, far = np.empty(block * strip, np.uint64), np.empty(block * strip, np.uint8)
     for p in range(len(alo)):
-        gap = np.maximum(0, np.maximum(blo - ahi[p], alo[p] - bhi)).sum(1)
         x = a[p * block : (p + 1) * block]
-        for q in np.nonzero(gap <= radius)[0]:
-            if same and q < p:
+        hit = np.nonzero(gaps(blo, bhi, alo[p], ahi[p]) <= radius)[0]
+        ends = np.cumsum(size[hit])
+        at = np.arange(ends[-1] if len(hit) else 0) + np.repeat(begin[hit] - (ends - size[hit]), size[hit])
+        for s in range(0, len(at), strip):
+            place = at[s : s + strip]
+            shape = (len(x), len(place))
+            differ = np.bitwise_xor(x[:, None], b[place], out=bits[: len(x) * len(place)].reshape(shape))
+            count = np.bitwise_count(differ, out=far[: len(x) * len(place)].reshape(shape))
+            if count.min() > radius:
                 continue
-            near = np.bitwise_count(x[:, None] ^ b[None, q * block : (q + 1) * block]) <= radius
-            i, j = np.nonzero(near)
-            if len(i):
-                i, j = i + p * block, j + q * block + shift
-                if (keep := i != j).any():
-                    parent = _unite(parent, i[keep], j[keep])
-    nodes = a if same else np.concatenate((a, b))
+            i, j = np.nonzero(count <= radius)
+            keep = differ[i, j] != 0  # not the fingerprint itself
+            held.append((i[keep] + p * block, node[place[j[keep]]]))
+            n_held += int(keep.sum())
+            if n_held > PAIRS:
+                parent, held, n_held = _unite(parent, *(np.concatenate(x) for x in zip(*held, strict=True))), [], 0
+    if held:
+        parent = _unite(parent, *(np.concatenate(x) for x in zip(*held, strict=True)))
+    nodes = np.concatenate((a, b))
     hooked = np.nonzero(parent != np.arange(len(parent)))[0]
     return nodes[hooked], nodes[parent[hooked]]
 
 
-def link_forest(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Edges (u, v) that join the same classes as all links between distinct ``fp``."""
-    pc = F.bit_count("fp")
-    counts = {r["pc"]: r["n"] for r in fps.groupBy(pc.alias("pc")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    tiles = [max(-(-counts.get(k, 0) // tile_rows), 0) for k in range(65)]
-    first = np.concatenate(([0], np.cumsum(tiles))).tolist()
-    at = lambda xs, k: F.element_at(F.array(*[F.lit(int(x)) for x in xs]), k + 1)
-    lo = at([first[max(k - radius, 0)] for k in range(65)], F.col("pc"))
-    hi = at([first[min(k + radius, 64) + 1] - 1 for k in range(65)], F.col("pc"))
-    packed = (
-        fps.select("fp", pc.alias("pc"))
-        .withColumn("tile", at(first[:65], F.col("pc")) + F.pmod(F.xxhash64("fp"), at([max(t, 1) for t in tiles], F.col("pc"))).cast("int"))
-        .groupBy("tile", "pc").agg(F.collect_list("fp").alias("fps"))  # a tile has about tile_rows rows
-    )
-    met = packed.withColumn("other", F.explode(F.sequence(lo, hi))).select(
-        F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") <= F.col("other")).alias("is_left"), "fps"
-    )
+def _count(column: Column, shift: int, width: int) -> Column:
+    return F.bit_count(F.shiftrightunsigned(column, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))).cast("long")
+
+
+def link_forest(fps: DataFrame, radius: int = RADIUS, tile_rows: int | None = None, partners: int = PARTNERS) -> DataFrame:
+    """Edges (u, v) that join the same classes as all links between distinct ``fp``.
+
+    Tiles grow with the square root of the fingerprints: so does then how often one is sent.
+    """
+    spark, n = fps.sparkSession, fps.count()
+    rows = tile_rows or int(min(max(8 * n**0.5, 1024), 131_072))
+    fp = F.col("fp")
+    spans = ((0, 32), (32, 32), (0, 16), (32, 16), (0, 8), (16, 8), (32, 8), (48, 8))  # of the counts in _KEY
+    key = F.lit(0).cast("long")
+    for (_, bits), (shift, width) in zip(_KEY, spans, strict=True):
+        key = F.shiftleft(key, bits).bitwiseOR(_count(fp, shift, width))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [pdf.fp.to_numpy(np.int64) for pdf in batches]
+        if parts and len(tile := np.concatenate(parts)):
+            counts = bit_counts(tile.view(np.uint64)).astype(np.uint8)
+            yield pd.DataFrame({"tile": [TaskContext.get().partitionId()], "lo": [counts.min(0).tobytes()], "hi": [counts.max(0).tobytes()], "fps": [tile.tobytes()]})
+
+    tiles = fps.select("fp").repartitionByRange(max(-(-n // rows), 1), key, fp).mapInPandas(pack, "tile int, lo binary, hi binary, fps binary")
+    tiles = staged(tiles, "tiles")
+    boxes = sorted((r["tile"], bytes(r["lo"]), bytes(r["hi"])) for r in tiles.select("tile", "lo", "hi").collect())  # one row a tile of sqrt(n) or 131,072 rows
+    ids = np.array([b[0] for b in boxes], np.int64)
+    lo, hi = (np.frombuffer(b"".join(b[k] for b in boxes), np.uint8).reshape(-1, 15).astype(np.int16) for k in (1, 2))
+    shared = spark.sparkContext.broadcast((ids, lo, hi))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, lo, hi = shared.value
+        for pdf in batches:
+            for tile, blob in zip(pdf.tile, pdf.fps, strict=True):
+                me = int(np.searchsorted(ids, tile))
+                near = np.nonzero(gaps(lo, hi, lo[me], hi[me]) <= radius)[0]
+                # of a pair of tiles one is the task's: the lower one if their sum is even
+                mine = near[(near == me) | ((near > me) == ((near + me) % 2 == 0))]
+                rest = near[(near != me) & ((near > me) != ((near + me) % 2 == 0))]
+                chunks = -(-len(mine) // partners)
+                # a task is (its tile, a number by which its partners are dealt); its own tile goes to each
+                rows = [(int(ids[me]), c, True, blob) for c in range(max(chunks, 1))]
+                for t in rest.tolist():
+                    theirs = np.nonzero(gaps(lo, hi, lo[t], hi[t]) <= radius)[0]
+                    theirs = theirs[(theirs == t) | ((theirs > t) == ((theirs + t) % 2 == 0))]
+                    rows.append((int(ids[t]), int(np.searchsorted(theirs, me)) // partners, False, blob))
+                for k in range(0, len(rows), 64):
+                    yield pd.DataFrame(rows[k : k + 64], columns=["task", "chunk", "own", "fps"])
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = {bool(k): np.asarray(v, np.int64).view(np.uint64) for k, v in zip(pdf.is_left, pdf.fps, strict=True)}
-        none = np.empty(0, np.uint64)
-        same = key[0] == key[1]
-        u, v = tile_links(sides.get(True, none), sides[True] if same else sides.get(False, none), same, radius)
+        arrays = [np.frombuffer(f, np.uint64) for f in pdf.fps]
+        own = next(a for a, o in zip(arrays, pdf.own, strict=True) if o)
+        others = [a for a, o in zip(arrays, pdf.own, strict=True) if not o]
+        u, v = tile_links(own, others if key[1] else [own, *others], radius)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    # pairs are few bytes and much work: a task has a few of them, whatever their size
-    pairs = sum(tiles[i] * tiles[j] for i in range(65) for j in range(i, min(i + radius, 64) + 1))
-    return met.repartition(min(max(pairs // 4, 1), 20_000), "a", "b").groupBy("a", "b").applyInPandas(compare, "u long, v long")
+    # a tile is few bytes and much work: a task has about one, whatever their size
+    sent = tiles.select("tile", "fps").repartition(min(max(len(ids) // 8, 1), 2000), "tile").mapInPandas(send, "task int, chunk int, own boolean, fps binary")
+    return sent.repartition(min(max(len(ids), 1) * 2, 20_000), "task", "chunk").groupBy("task", "chunk").applyInPandas(compare, "u long, v long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node on an edge (u, v); root is the least node of its component.
 
     Alternating large-star and small-star steps, each round written to the shared
     folder; it ends when a round changes nothing.
     """
+    spark = edges.sparkSession
     edges = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if row["n"] == 0 or (row["n"], row["s"]) == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        mark = (row["n"], row["s"])
+        mark, hot = (row["n"], row["s"]), max(row["n"] // 1000, 10_000)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = staged(small.where("u <> v").distinct(), "links")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = skew_join(both, least, "u", "n", hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = skew_join(large, low, "u", "n", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        done, edges = edges, staged(small.where("u <> v").distinct(), "links")
+        delete(spark, done.inputFiles()[0].rpartition("/")[0])
 
 
 def _classes(fp_table: DataFrame, id_col: str, radius: int) -> DataFrame:
-    """(fp, class_id) over the distinct fingerprints of a staged table."""
+    """(fp, class_id, root) over the distinct fingerprints of a staged table."""
     distinct = staged(fp_table.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints")
     roots = components(link_forest(distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -180,24 +259,39 @@ def _classes(fp_table: DataFrame, id_col: str, radius: int) -> DataFrame:
     return rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("fp", "class_id", "root")
 
 
+def _with_classes(fps: DataFrame, radius: int, what: str) -> DataFrame:
+    """``fps`` with a column of its classes; a fingerprint of many rows does not meet its class in one task."""
+    n = fps.groupBy("fp").agg(F.count("*").alias("n"))
+    classes = _classes(fps, "doc_id", radius).select("fp", what).join(n, "fp")
+    return skew_join(fps, classes, "fp", "n", max(fps.count() // 1000, 10_000))
+
+
 def simhash_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, class_id (the least doc_id of the class) for every row of docs (doc_id, text)."""
     fps = staged(fingerprints(docs, "doc_id"), "simhash")
-    return fps.join(_classes(fps, "doc_id", radius).drop("root"), "fp").select("doc_id", "fp", "class_id")
+    return _with_classes(fps, radius, "class_id").select("doc_id", "fp", "class_id")
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of every class, with all columns of ``docs``: the least (doc_id, text hash), null ids last."""
-    mark, twin = fresh_name(docs, "mark"), fresh_name(docs, "twin")
+    mark, kid, kmark, one = (fresh_name(docs, x) for x in ("mark", "kid", "kmark", "one"))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").cast("string"))
     fps = staged(fingerprints(docs.withColumn(mark, key), "doc_id", mark).withColumnRenamed(mark, "mark"), "simhash")
-    rooted = fps.join(_classes(fps, "doc_id", radius).select("fp", "root"), "fp")
-    first = rooted.groupBy("root").agg(F.min_by(F.struct("doc_id", "mark"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("k"))
-    kept = first.select(F.col("k.doc_id").alias("__kid"), F.col("k.mark").alias("__kmark"))
-    chosen = docs.withColumn(mark, key).join(kept, (F.col(mark) == F.col("__kmark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__kid")), "left_semi")
-    repeats = fps.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count()
-    if repeats:  # rows that repeat id and text: any one of them
-        from pyspark.sql.window import Window
-
-        chosen = chosen.withColumn(twin, F.row_number().over(Window.partitionBy("doc_id", mark).orderBy(mark))).where(F.col(twin) == 1).drop(twin)
-    return chosen.drop(mark)
+    first = _with_classes(fps, radius, "root").groupBy("root").agg(F.min_by(F.struct("doc_id", "mark"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("k"))
+    kept = staged(first.select(F.col("k.doc_id").alias(kid), F.col("k.mark").alias(kmark)), "kept")
+    same = lambda marked, k: (marked[mark] == k[kmark]) & marked["doc_id"].cast("long").eqNullSafe(k[kid])
+    marked = docs.withColumn(mark, key)
+    repeats = staged(fps.groupBy(F.col("doc_id").alias(kid), F.col("mark").alias(kmark)).agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+    n = repeats.agg(F.count("*").alias("n"), F.max("n").alias("most")).first()
+    if not n["n"]:
+        return marked.join(kept, same(marked, kept), "left_semi").drop(mark)
+    # rows that repeat id and text: any one of them; they meet after one is chosen in each task
+    any_one = lambda df: df.groupBy(mark, "doc_id").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(one)).select(f"{one}.*")
+    hot = F.broadcast(repeats.where(F.col("n") > max(fps.count() // 1000, 10_000)))  # 1000 rows at most
+    mine = hot.join(kept, (hot[kmark] == kept[kmark]) & hot[kid].eqNullSafe(kept[kid]), "left_semi")
+    cold = marked.join(hot, same(marked, hot), "left_anti")
+    chosen = cold.join(kept, same(cold, kept), "left_semi")
+    once = chosen.join(repeats, same(chosen, repeats), "left_anti").drop(mark)
+    again = chosen.join(repeats, same(chosen, repeats), "left_semi")
+    heavy = marked.join(F.broadcast(mine), same(marked, mine), "left_semi")
+    return once.unionByName(any_one(again)).unionByName(any_one(heavy))
