@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -180,10 +181,9 @@ def test_tiles_equal_brute_force():
     for split in (len(fps), 400):
         edges = []
         cuts = [fps[:split], fps[split:]]
-        for i in range(2):
-            for j in range(i, 2):
-                u, v = simhash.tile_links(cuts[i], cuts[j], i == j, block=64)
-                edges += list(zip(u.tolist(), v.tolist(), strict=True))
+        for own, others in ((cuts[0], cuts), (cuts[1], [cuts[1]])):
+            u, v = simhash.tile_links(own, others, block=32, strip=256)
+            edges += list(zip(u.tolist(), v.tolist(), strict=True))
         index = {int(x): i for i, x in enumerate(fps)}
         root = list(range(len(fps)))
 
@@ -199,6 +199,37 @@ def test_tiles_equal_brute_force():
         assert len({find(i) for i in range(len(fps))}) == len(set(want)) and len(edges) < 3 * len(fps)
 
 
+def test_tiles_across_tasks_equal_brute_force(spark, monkeypatch):
+    """Many tiles, several tasks a tile, and links that are united while they are gathered."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 250, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(750)], np.uint64)
+    fps = np.unique(np.concatenate((base, np.repeat(base, 3) ^ flips)))
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    roots = dict(rows_of(simhash.components(simhash.link_forest(table, tile_rows=40, partners=3)), "node", "root"))
+    want = brute_classes([int(x) for x in fps])
+    groups = {}
+    mine = [roots.get(int(x), int(x)) for x in fps.view(np.int64)]
+    assert all(groups.setdefault(m, w) == w for m, w in zip(mine, want, strict=True)) and len(set(mine)) == len(set(want))
+    monkeypatch.setattr(simhash, "PAIRS", 5)
+    u, v = simhash.tile_links(fps, [fps])
+    assert len(u) == len(fps) - len(set(want))
+
+
+def test_components_with_hot_nodes_and_repeated_rows(spark, monkeypatch):
+    """A node of very many links, and half of all rows equal: both go by the ways for hot keys."""
+    star = spark.range(1, 30_001).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    got = simhash.components(star)
+    assert got.where("root <> 0").count() == 0 and got.count() == 30_001
+    docs = spark.range(24_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(7).cast("long")).otherwise(F.col("id") % 40).alias("doc_id"),
+        F.when(F.col("id") % 2 == 0, F.lit("one text that half of all rows say again and again")).otherwise(F.concat(F.lit("words of number "), (F.col("id") % 40).cast("string"))).alias("text"), F.col("id").alias("kid"),
+    )
+    kept = simhash.simhash_dedup(docs)
+    fps = {brute_fingerprint(f"words of number {i}") for i in range(1, 40, 2)} | {brute_fingerprint("one text that half of all rows say again and again")}
+    assert kept.columns == docs.columns and kept.count() == len(set(brute_classes(sorted(fps))))
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(50)] + [(300, 300)]
     got = dict(rows_of(simhash.components(spark.createDataFrame(edges, "u long, v long")), "node", "root"))
@@ -275,13 +306,14 @@ def brute_rule(url):
 def test_url_rules(spark, sf_dir):
     odd = [None, "", "com", "http://", "HTTP://WWW.Example.COM/en/x?y=/z#q", "http://example.com/en", "http://notexample.com/en/", "a://b://c/d", "http://x.net?es/", "http://net/es/", "http://x.net/fr/\n/y", "s://COM", "s://com/"]
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(9000 + i, u) for i, u in enumerate(odd)], "page_id long, url string"))
-    pages = pages.withColumn("__lex_len", F.lit(1)).withColumn("probability", F.lit("x"))
+    long = "http://x.net/" + "a/" * 50_000
+    pages = pages.unionByName(spark.createDataFrame([(9100, long), (9101, long)], "page_id long, url string")).withColumn("__lex_len", F.lit(1.5)).withColumn("probability", F.lit("x"))
     got = urls.judge(pages, queries.URL_RULES).collect()
     assert len(got) == pages.count()
     for r in got:
         host, path, best = brute_rule(r["url"])
         assert (r["host"], r["path"], r["rule"]) == (host, path, best.text if best else None), r
-        assert r["verdict"] in ("allow", "block") and r["probability"] == "x"
+        assert r["verdict"] in ("allow", "block") and r["probability"] == "x" and r["__lex_len"] == 1.5
         if best:
             assert r["verdict"] == ("allow" if best.allow else "block")
 
@@ -298,6 +330,59 @@ def test_url_trees_learn_from_labels(spark):
     assert sum(got[i] == b for i, (_, b) in enumerate(test)) > 0.95 * len(test)
 
 
+def brute_features(url, rate):
+    host, path, _ = brute_rule(url)
+    suffix = ".".join(host.split(".")[-2:])
+    query = url.split("?", 1)[1].split("#")[0] if "?" in url else ""
+    n = Counter(url)
+    entropy = -sum(c / len(url) * math.log2(c / len(url)) for c in n.values())
+    return [len(url), len(host), len(path), path.count("/"), host.count("."), sum(c in "0123456789" for c in url) / len(url), entropy, query.count("&") + 1 if query else 0, host.count("-"), len(suffix), rate(suffix)]
+
+
+def tree_value(lines, x):
+    """Walks one tree of a model's text form."""
+    depth, at = 0, 0
+    while True:
+        line = lines[at].strip()
+        if line.startswith("Predict"):
+            return float(line.split()[1])
+        feature, op, limit = re.match(r"If \(feature (\d+) (<=|>) ([-\d.eE]+)\)", line).groups()
+        indent = len(lines[at]) - len(line)
+        if (x[int(feature)] <= float(limit)) == (op == "<="):
+            at += 1
+        else:
+            at = 1 + next(i for i in range(at + 1, len(lines)) if len(lines[i]) - len(lines[i].strip()) == indent and lines[i].strip().startswith("Else"))
+
+
+def test_url_trees_equal_brute_force_on_held_out_hosts(spark):
+    rng = random.Random(9)
+    make = lambda bad, i: f"http://{'-' * (i % 3)}h{i}.{'top' if bad else 'org'}/{'/'.join(rng.choice('abc') + ('0' * rng.randrange(9) if bad else '') for _ in range(1 + i % 4))}{'?a=1&b=2' if bad and i % 2 else ''}"
+    rows = [(make(i % 2 == 0, i), i % 2 == 0) for i in range(600)]
+    model = urls.train(spark.createDataFrame(rows[:400], "url string, blocked boolean"), trees=4, depth=3)
+    rates = dict(rows_of(model.suffixes, "suffix", "rate"))
+    held = spark.createDataFrame([(u, b, *brute_rule(u)[:2], 1) for u, b in rows[400:]], "url string, blocked boolean, host string, path string, __suffix int")
+    got = model.blocked(held, "url", "host", "path", "p").collect()
+    weights, texts = list(model.trees.treeWeights), [t.toDebugString.split("\n")[1:] for t in model.trees.trees]
+    assert len(got) == 200 and sum((r["p"] >= 0.5) == r["blocked"] for r in got) > 190 and all(r["__suffix"] == 1 for r in got)
+    for r in got:
+        x = brute_features(r["url"], lambda s: rates.get(s, model.prior))
+        margin = sum(w * tree_value(t, x) for w, t in zip(weights, texts, strict=True))
+        assert abs(r["p"] - 1 / (1 + math.exp(-2 * margin))) < 1e-9
+
+
+def test_many_url_rules_by_table_equal_the_expression(spark, monkeypatch):
+    rng = random.Random(10)
+    rules = [urls.UrlRule.parse(t, rng.random() < 0.5) for t in ("", "com/", "com", "a.com/x", "a.com/xy/", "b.a.com/", ".com/", "a..com/", "com/x", "/x", "org/", "org/")]
+    hosts = ["a.com", "b.a.com", "com", "", "a..com", ".com", "x.org", "org.", "aa.com", "net"]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("", "/", "/x", "/xy/z", "/y"))], "page_id long, url string").withColumn("rule_", F.lit(1))
+    pages = pages.withColumns({"host": urls.host_of(F.col("url")), "path": urls.path_of(F.col("url"))})
+    want = Counter(rows_of(urls.with_rules(pages, rules[:-1], "host", "path", "rule", "ok"), "page_id", "rule", "ok"))
+    monkeypatch.setattr(urls, "INLINE_RULES", 0)
+    assert Counter(rows_of(urls.with_rules(pages, rules[:-1], "host", "path", "rule", "ok"), "page_id", "rule", "ok")) == want
+    many = [urls.UrlRule(f"h{i}.net", "/", True) for i in range(1500)]
+    assert urls.judge(pages.select("page_id", "url"), [*rules, *many]).count() == pages.count()
+
+
 def test_url_sample_is_bounded_under_copies(spark):
     rows = [(f"http://a{i}.org/x", False) for i in range(300)] + [(f"http://b{i}.xyz/y", True) for i in range(300)] + [(f"http://hot{i}.xyz/y", True) for i in range(30)] * 100
     labelled = spark.createDataFrame(rows, "url string, blocked boolean")
@@ -347,6 +432,26 @@ def test_sharding_hot_and_hard_rows(spark):
     assert sharding.shard_documents(empty_docs(spark), 4).count() == 0 and sharding.shard_placement(empty_docs(spark), 4).count() == 0
 
 
+def test_maps_are_stored_and_edited(spark, sf_dir, tmp_path):
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"file://{tmp_path}/maps"
+    first = {r["doc_id"]: r for r in sharding.shard_placement(docs, 24, maps=path).collect()}
+    assert spark.read.parquet(path).select("version").distinct().count() == 1
+    assert {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, 24, maps=path).collect()} == {d: r["shard"] for d, r in first.items()}
+    grown = sharding.shard_placement(docs, 25, maps=path).collect()
+    loads = check_placement(grown, 25)
+    mean = sum(loads.values()) / 25
+    assert max(loads.values()) < 1.1 * mean and loads[24] > 0.9 * mean
+    listed = {r["vslot"]: (r["moved_from"], r["shard"]) for r in spark.read.parquet(path).where("version = 2 and moved_from is not null").collect()}
+    for r in grown:
+        old = first[r["doc_id"]]
+        assert r["map_version"] == 2 and r["vslot"] == old["vslot"]
+        assert (old["shard"], r["shard"]) == listed.get(r["vslot"], (old["shard"],) * 2)
+    moved = sum(r["size"] for r in grown if r["vslot"] in listed)
+    assert 24 in {to for _, to in listed.values()} and moved < 3 * mean  # most of it to the new shard, the rest to even out
+    with pytest.raises(ValueError):
+        sharding.shard_documents(docs, 25, slots=100, maps=path)
+
+
 def test_slot_map_versions(spark, tmp_path):
     rng = random.Random(4)
     sizes = {s: rng.randrange(1, 100) for s in range(1024)}
@@ -534,8 +639,11 @@ def test_decontamination_spans_and_cases(spark, monkeypatch):
         (1, "É: One, two three--four five\nsix seven eight nine TEN! end", 1), (2, "two three four five six seven eight nine ten eleven", 1), (3, "one two three", 1), (4, None, 1), (5, "", 1),
         (6, "a SHORT answer; shorts answer", 1), (None, "zeta eta", 1), (6, "a SHORT answer; shorts answer", 1),
     ], "doc_id long, text string, hit int")
-    for most in (500_000, 2):
-        monkeypatch.setattr(decontaminate, "MAX_WINDOWS", most)
+    for most, chunk, items in ((3_000_000, 1, 10_000), (80, 1, 2), (80, 200, 2)):
+        monkeypatch.setattr(decontaminate, "MAX_NODES", most)
+        monkeypatch.setattr(decontaminate, "CHUNK", chunk)
+        monkeypatch.setattr(decontaminate, "ITEMS", items)
+        assert most > 80 or len(decontaminate.benchmark_windows(bench)) > 2
         got = decontaminate.contamination(docs, bench).collect()
         by = {r["doc_id"]: r for r in got}
         assert len(got) == 8 and by[1]["n_hit"] == 10 and by[1]["items"] == [1]
@@ -572,7 +680,46 @@ def test_language_hard_cases(spark):
     assert all((r["lang_pred"], r["score"]) == ("und", 0.0) for r in got if r["doc_id"] in (3, 4, 7))
     assert model.predict("123 456 !!") == ("und", 0.0) and langid.fit(empty_docs(spark)).predict("abc") == ("und", 0.0)
     assert langid.predict(empty_docs(spark), model, "doc_id").count() == 0
-    assert sum(len(c) for c in langid.gram_cells("x" * (langid.PIECE + 5))) == 3 * (langid.PIECE + 5) - 3
+    assert sum(len(c) for _, c in langid.batch_cells(["x" * (langid.PIECE + 5)])) == 3 * (langid.PIECE + 5) - 3
+
+
+def brute_language(model, text):
+    """Gram by gram: a score of every language."""
+    total = {lang: float(p) for lang, p in zip(model.langs, model.log_prior, strict=True)}
+    chars = [ord(c) for c in text.lower()]
+    for n in langid.ORDERS:
+        for i in range(len(chars) - n + 1):
+            h = n * 0x27D4EB2F & 0xFFFFFFFF
+            for k in range(n):
+                h = (h ^ chars[i + k]) * langid._MULT[k] & 0xFFFFFFFF
+                h ^= h >> 15
+            for j, lang in enumerate(model.langs):
+                total[lang] += float(model.log_prob[j, h % model.log_prob.shape[1]])
+    best = max(total, key=lambda x: (total[x], [-ord(c) for c in x]))
+    return best, 1 / sum(math.exp(t - total[best]) for t in total.values())
+
+
+def test_language_scores_equal_brute_force(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    texts = [t for t, in rows_of(docs, "text")][:40] + ["", "a", "é", "12", None, "ÀÉ ßİ x", "a" * 700]
+    model = langid.fit(docs)
+    for piece in (langid.PIECE, 100):  # texts in one piece and over many
+        monkeypatch.setattr(langid, "PIECE", piece)
+        langs, scores = model.predict_batch(texts)
+        for t, lang, score in zip(texts, langs, scores.tolist(), strict=True):
+            if not t or not any(map(str.isalpha, t)):
+                assert (lang, score) == ("und", 0.0)
+            else:
+                want, p = brute_language(model, t)
+                assert lang == want and abs(score - p) < 1e-9
+
+
+def test_many_languages_share_fewer_cells(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FULL_LANGS", 4)
+    words = [f"{a}{b}" for a in "bcdfghklmn" for b in "aeiou"]
+    rows = [(f"{w} {w}{w} {w}", w) for w in words[:20]]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.log_prob.shape == (20, langid.CELLS // 8) and model.predict("bababa ba")[0] == "ba"
 
 
 # ---------------------------------------------------------------- mixing
@@ -595,8 +742,19 @@ def test_mixing_hard_cases(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert Counter(rows_of(mixing.mix(docs, epochs=5.0), *docs.columns)) == a and sum(a.values()) > 20
     assert mixing.mix(empty_docs(spark)).count() == 0
+    assert mixing.repetition_rates(docs, epochs=10_000.0).agg(F.max("rate")).first()[0] > 500
     with pytest.raises(ValueError):
-        mixing.repetition_rates(docs, epochs=10_000.0)
+        mixing.mix(docs, copy="COPY")
+
+
+def test_mixing_deals_a_repeated_row_over_partitions(spark, tmp_path):
+    spark.createDataFrame([(5, "same", "en", "a", 4)] * 3000 + [(i, f"t{i}", "en", "a", 2) for i in range(100, 3100)], DOCS).repartition(4).write.parquet(str(tmp_path / "d"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in mixing.mix(spark.read.parquet(str(tmp_path / "d")), epochs=2.0).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 2 * sum(sizes) / len(sizes) and len(sizes) > 1
 
 
 def test_mixing_repeats_a_tiny_source_beside_a_large_one(spark, tmp_path, monkeypatch):
@@ -654,3 +812,145 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert seen[4].count() == seen[3].count() and seen[4].columns == [*docs.columns, "shard"]
     assert all(s.columns == docs.columns for s in seen[:4])
     assert corpus_pipeline.run(spark, sf_dir).count() == seen[4].count()
+
+
+# ---------------------------------------------------------------- all operators
+
+
+def names_in(module):
+    """Names that a module's operators make: strings of its code that could be columns."""
+    import inspect
+
+    found = set(re.findall(r'"(_{0,2}[a-z][a-z_0-9]{0,20})"', inspect.getsource(module)))
+    return sorted(found - {"doc_id", "text", "lang", "source", "n_chars", "item_id", "url", "page_id", "conv_id", "turn", "role", "_metadata"})
+
+
+def with_clashes(docs, module, taken=()):
+    """An extra column, of a value of its own, for every name that the module's code uses and for its temporary names."""
+    stems = re.findall(r'"([a-z]+)"', open(module.__file__, encoding="utf-8").read())
+    every = dict.fromkeys([*names_in(module), *(f"__{x}" for x in stems)])
+    used = {c.lower() for c in (*docs.columns, *taken)}
+    extra = [n for n in every if n.lower() not in used]
+    return docs.withColumns({n: F.lit(f"own {n}") for n in extra}), extra
+
+
+def kept_values(df, extra):
+    return df.where(" or ".join(f"`{n}` is null or `{n}` <> 'own {n}'" for n in extra)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["quality", "simhash", "decontaminate", "mixing", "sharding", "urls"])
+def test_columns_of_clashing_names_are_kept(spark, name):
+    docs = hard_docs(spark)
+    bench = spark.createDataFrame([(1, "lorem ipsum dolor sit amet consectetur adipiscing elit sed do")], "item_id long, text string")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([None, "", "http://a.com/x", "http://a.net/es/1", "http://b.org/1?x=2"] * 4)], "page_id long, url string")
+    module, base, taken, run = {
+        "quality": (quality, docs, (), lambda d: quality.quality_filter(d)),
+        "simhash": (simhash, docs, (), lambda d: simhash.simhash_dedup(d)),
+        "decontaminate": (decontaminate, docs, (), lambda d: decontaminate.decontaminate(d, bench)),
+        "mixing": (mixing, docs, (), lambda d: mixing.mix(d, epochs=3.0)),
+        "sharding": (sharding, docs, ("shard",), lambda d: sharding.shard_documents(d, 4).drop("shard")),
+        "urls": (urls, pages, ("host", "path", "rule", "verdict"), lambda d: urls.judge(d, queries.URL_RULES)),
+    }[name]
+    clashing, extra = with_clashes(base, module, taken)
+    got, plain = run(clashing), run(base)
+    assert len(extra) > 20 and set(clashing.columns) <= set(got.columns) and kept_values(got, extra)
+    cols = [c for c in plain.columns if c not in ("verdict",)]
+    if name == "simhash":
+        assert got.count() == plain.count()
+    else:
+        assert Counter(map(str, rows_of(got, *cols))) == Counter(map(str, rows_of(plain, *cols)))
+
+
+def test_reports_ignore_other_columns_and_refuse_clashes(spark, tmp_path):
+    docs = hard_docs(spark)
+    bench = spark.createDataFrame([(1, "lorem ipsum")], "item_id long, text string").withColumn("place", F.lit(1)).withColumn("w", F.lit(2))
+    for module, run in (
+        (quality, quality.quality_report), (simhash, simhash.simhash_classes), (sharding, lambda d: sharding.shard_placement(d, 4).drop("salt")), (suffixes, suffixes.suffix_digests),
+        (decontaminate, lambda d: decontaminate.digests(decontaminate.contamination(d, bench))), (langid, lambda d: langid.predict(d, langid.fit(d), "doc_id")),
+        (tokens, lambda d: tokens.read_tokens(tokens.write_tokens(d, queries.tokenizer_path(), 2))),
+    ):
+        clashing, _ = with_clashes(docs, module)
+        a, b = run(clashing), run(docs)
+        assert a.columns == b.columns and Counter(map(str, a.collect())) == Counter(map(str, b.collect())), module
+    for call in (
+        lambda: decontaminate.contamination(docs.withColumn("n_hit", F.lit(1)), bench, keep=("doc_id", "n_hit")), lambda: langid.predict(docs.withColumn("Score", F.lit(1)), langid.fit(docs), "Score"),
+        lambda: sharding.shard_documents(docs.withColumn("SHARD", F.lit(1)), 4), lambda: urls.judge(spark.createDataFrame([(1, "", "")], "page_id long, url string, Verdict string"), ()),
+    ):
+        with pytest.raises(ValueError):
+            call()
+    odd = docs.withColumn("text_", F.lit(3)).withColumn("k0", F.lit("z"))
+    assert {r["k0"] for r in decontaminate.contamination(odd, bench, keep=("k0", "text_")).collect()} == {"z"}
+
+
+def test_scans_have_a_task_a_split(spark, tmp_path, monkeypatch):
+    """Samples do not narrow the scan that they are drawn from: what is gathered is gathered behind a shuffle."""
+    rows = [(i, f"text number {i} of some words that are said once more", "en", "a", 1) for i in range(500)]
+    spark.createDataFrame(rows, DOCS).repartition(50).write.parquet(str(tmp_path / "documents.parquet"))
+    pages = spark.createDataFrame([(i, f"http://{'a.com' if i % 2 else 'b.net/es'}/{i}") for i in range(500)], "page_id long, url string")
+    pages.repartition(50).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(256 << 20))
+    plans = []
+    real = type(spark.range(1)).write.fget
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(type(spark.range(1)), "write", property(seen))
+    try:
+        docs, table = spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "pages.parquet"))
+        assert docs.rdd.getNumPartitions() >= 50
+        results = [quality.quality_report(docs), quality.quality_filter(docs), urls.judge(table, queries.URL_RULES)]
+        for r in results:
+            assert r.rdd.getNumPartitions() >= 50
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(plans) >= 4
+    for plan in plans:
+        # a coalesce may stand over an exchange but not over a scan
+        for at in (m.end() for m in re.finditer("Coalesce ", plan)):
+            below = plan[at:]
+            scan, exchange = below.find("Scan parquet"), below.find("Exchange")
+            assert scan < 0 or 0 <= exchange < scan, plan
+
+
+def test_sample_of_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_FILES", 3)
+    spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id")).alias("text")).repartition(10).write.parquet(str(tmp_path / "d d"))
+    docs = spark.read.parquet(str(tmp_path / "d d"))
+    some = quality._sampled_files(docs)
+    assert 0 < some.count() < 200 and some.select(F.input_file_name()).distinct().count() == 3
+    assert quality.quality_report(docs).count() == 200 and quality.quality_report(docs.groupBy("doc_id").agg(F.first("text").alias("text"))).count() == 200
+
+
+def pipeline_dir(spark, docs, tmp_path, name):
+    at = tmp_path / name
+    docs.coalesce(1).write.parquet(str(at / "documents.parquet"))
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, None)], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+    return str(at)
+
+
+def test_pipeline_hard_cases(spark, tmp_path):
+    import corpus_pipeline
+
+    prose = "It was said that the river ran past all of the old houses before anyone thought of a bridge over it, number "
+    rows = [
+        (None, prose + "nine", None, None, None), (1, prose + "one and so on", "en", "a", 1), (1, prose + "one and so on", "en", "a", 1), (2, prose + "one and so on", "en", "a", 1), (3, None, "en", "a", 1), (4, "", "en", "b", 0),
+        (5, "One two three, four five six seven eight nine TEN eleven is in here with further words", "en", "b", 1), (6, "word" * 3, "en", "b", 1), (7, " ".join(f"w{i} is a long text" for i in range(30_000)), "en", "a", 1),
+    ]
+    docs = spark.createDataFrame(rows, DOCS)
+    clashing, extra = with_clashes(docs, quality, ("shard",))
+    out = corpus_pipeline.run(spark, pipeline_dir(spark, clashing, tmp_path, "hard"))
+    assert out.columns == [*clashing.columns, "shard"] and kept_values(out, extra)
+    step, at = docs, pipeline_dir(spark, docs, tmp_path, "plain")
+    left = []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        step = stage(spark, step, at)
+        left.append(sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in step.select("doc_id").collect()))
+    ids = [[None if none else d for none, d in x] for x in left]
+    assert ids[0] == [1, 1, 2, 5, 7, None] and ids[1] == [1, 5, 7, None] and ids[2] == [1, 7, None]
+    assert {r["doc_id"] for r in out.select("doc_id").collect()} <= {1, 7, None}
+    empty = corpus_pipeline.run(spark, pipeline_dir(spark, empty_docs(spark), tmp_path, "empty"))
+    assert empty.count() == 0 and empty.columns == [*docs.columns, "shard"]
+    with pytest.raises(ValueError):
+        corpus_pipeline.virtual_slot_sharding(spark, docs.withColumn("shard", F.lit(1)), at)
