@@ -613,6 +613,70 @@ def test_suffix_dedup_hard_cases(spark):
     assert {r["doc_id"]: r["kept"] for r in suffixes.suffix_dedup(docs).collect()}[2] == b""
 
 
+def test_anchors_of_joined_texts_are_those_of_each():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.choice([100, 101, 150, 900]))).encode() for _ in range(40)]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    want = []
+    for k, t in enumerate(texts):
+        at, _, h = suffixes.anchors(np.frombuffer(t, np.uint8), np.array([len(t)]))
+        want += [(k, int(p), int(x)) for p, x in zip(at, h, strict=True)]
+        grams = suffixes.gram_hashes(np.frombuffer(t, np.uint8))
+        w = suffixes.LENGTH - suffixes.GRAM + 1
+        assert set(at.tolist()) == {i for s in range(len(grams) - w + 1) for i in range(s, s + w) if grams[i] == grams[s : s + w].min()}
+    for slab in (1 << 20, 1000, 137):
+        at, of, h = suffixes.anchors(data, ends, slab=slab)
+        begin = np.concatenate(([0], ends[:-1]))
+        assert sorted(zip(of.tolist(), (at - begin[of]).tolist(), h.tolist(), strict=True)) == sorted(want)
+
+
+def test_suffixes_are_in_order_of_bytes_and_neighbours_tell_common_prefixes():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 2, (500, 12)).astype(np.uint8)
+    order = np.argsort(rows.reshape(-1).view("S12"), kind="stable")
+    assert [bytes(r) for r in rows[order]] == sorted(bytes(r) for r in rows)
+    got = suffixes.common_prefixes(rows[order])
+    for i in range(1, 500):
+        a, b = rows[order][i - 1], rows[order][i]
+        assert got[i] == next((k for k in range(12) if a[k] != b[k]), 12)
+
+
+def test_suffix_dedup_with_hot_anchors(spark, monkeypatch):
+    """A line of all documents: its anchors are dealt by context, and no bucket has over three times the mean."""
+    rng = random.Random(14)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(126))
+    rows = [(i, "".join(rng.choice("klmnopqrst uvw") for _ in range(400)) + line + "".join(rng.choice("klmnopqrst uvw") for _ in range(400))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 40_000)
+    keyed = suffixes._keyed(docs)
+    hot = suffixes._hot_grams(keyed, 100, 600 * 926, 64)
+    assert len(hot) >= 2
+    sizes = Counter()
+    for r in suffixes._anchor_blobs(keyed, 100, 64, hot, 0).collect():
+        sizes[r["bucket"]] += len(suffixes._unpack(r["blob"])[3])
+    assert max(sizes.values()) < 3 * sum(sizes.values()) / 64
+    check_repeats(spark, rows)
+
+
+def test_suffix_index_meets_earlier_batches(spark, tmp_path):
+    rng = random.Random(15)
+    parts = ["".join(rng.choice("abcd é\n") for _ in range(rng.randrange(60, 300))) for _ in range(25)]
+    rows = [(i, "".join(rng.choice(parts) if rng.random() < 0.7 else rng_text(rng, 6) for _ in range(rng.randrange(1, 7)))) for i in range(90)]
+    rows += [(90 + i, rows[i][1][3:-2] + "t") for i in range(20)] + [(110, rows[0][1]), (111, None), (112, "a" * 300)]
+    want = {r[0]: r for r in brute_repeats(rows)}
+    index, got, sizes = suffixes.SuffixIndex(spark, f"file://{tmp_path}/family", buckets=8), {}, []
+    for a, b in ((0, 40), (40, 60), (60, 80), (80, 113)):
+        batch = spark.createDataFrame(rows[a:b], "doc_id long, text string")
+        got |= {r["doc_id"]: tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffixes.suffix_digests(batch, index=index).collect()}
+        sizes.append([n for n, _ in index.levels])
+        assert all(x >= 2 * y for x, y in zip(sizes[-1], sizes[-1][1:], strict=False))
+    assert got == want and index.batches == 4 and max(map(len, sizes)) > 1
+    for _, path in index.levels:
+        for r in spark.read.parquet(path).collect():
+            order = suffixes._unpack(r["blob"])[3]
+            assert (order[1:] > order[:-1]).all()
+
+
 def test_log_family_levels_grow_geometrically():
     rng = np.random.default_rng(1)
     family = suffixes.LogFamily()
@@ -621,7 +685,7 @@ def test_log_family_levels_grow_geometrically():
         family.add(cls[i : i + 100], key[i : i + 100], cls[i : i + 100])
         sizes = [len(x[0]) for x in family.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
-    keys, _ = family.settle()
+    _, keys, _ = family.settle()
     least = {}
     for c, k in zip(cls.tolist(), key.tolist(), strict=True):
         least[c] = min(k, least.get(c, k))
