@@ -13,6 +13,11 @@ conversation in one task. Sums and spans are found on rows without texts; a text
 is staged once, meets its windows once, and is shuffled once more to the other
 turns of its window. Both ways give the same windows.
 
+A turn's tokens are by default bounded from above by its bytes as formatted,
+markup and white space included: no tokenizer of bytes or larger pieces makes
+more. ``counted`` adds the exact counts of a tokenizer, which a column name then
+chooses. Either way no window passes its budget without saying so.
+
 With a budget B: a turn of over B/4 tokens ("long") is a span of its own; other
 turns are cut on the grid of B/4 by their prefix sums, so a span has under B/2
 tokens; history takes at most B/4. Only a long turn or a system turn of over
@@ -30,14 +35,17 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import null_safe_key, staged, text_or_empty
+from .common import null_safe_key, refuse, staged, text_or_empty
+from .tokens import encode_bounded, encoder_of
 
 START, END = "<|im_start|>", "<|im_end|>"
+MARKUP = len(START + "\n" + END + "\n")
 _UNESCAPE = re.compile(r"<\\(\\*)\|")
 _UNESCAPE_ROLE = re.compile(r"\\(.)")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
@@ -67,16 +75,38 @@ def unescape_role(role: str) -> str:
     return unescape(_UNESCAPE_ROLE.sub(lambda m: "\n" if m[1] == "n" else m[1], role))
 
 
-def token_estimate(col: Column) -> Column:
-    """Tokens of a turn: word pieces of up to 4 characters and single symbols, plus 4 for the markup."""
-    return F.regexp_count(col, F.lit(r"[\p{L}\p{N}]{1,4}|[^\s\p{L}\p{N}]")).cast("long") + F.lit(4)
+def piece(role: Column, text: Column) -> Column:
+    """A turn as formatted, of escaped role and text."""
+    return F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(END + "\n"))
+
 
+def counted(turns: DataFrame, tokenizer_path: str, name: str = "tokens") -> DataFrame:
+    """Adds ``name``: how many tokens a turn has as formatted, by a tokenizer that drops white space (see ``tokens.WordEncoder``).
 
-def _base(turns: DataFrame) -> DataFrame:
-    return turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), null_safe_key(F.col("conv_id")).alias("conv_key"), F.col("turn").cast("long").alias("turn"),
-        escape_role(text_or_empty(F.col("role"))).alias("role"), escape(text_or_empty(F.col("text"))).alias("text"),
+    Turns end at white space, so a window has the sum of its turns.
+    """
+    refuse(turns.columns, name)
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = encoder_of(tokenizer_path)
+        for texts in batches:
+            n = np.zeros(len(texts), np.int64)
+            for i, ids, _ in encode_bounded(encoder, list(texts)):
+                n[i] += len(ids)
+            yield pd.Series(n)
+
+    return turns.withColumn(name, count(piece(escape_role(text_or_empty(F.col("role"))), escape(text_or_empty(F.col("text"))))))
+
+
+def _base(turns: DataFrame, tokens: str | None) -> DataFrame:
+    role, text = escape_role(text_or_empty(F.col("role"))), escape(text_or_empty(F.col("text")))
+    count = F.octet_length("text").cast("long") + F.octet_length("role") + MARKUP if tokens is None else F.col("tokens")
+    given = [] if tokens is None else [F.greatest(F.col(tokens).cast("long"), F.lit(1)).alias("tokens")]
+    said = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"), null_safe_key(F.col("conv_id")).alias("conv_key"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), *given,
     )
+    return said.withColumn("tokens", count)
 
 
 def _split(base: DataFrame, hot_bytes: int) -> tuple[DataFrame, DataFrame | None]:
@@ -94,7 +124,7 @@ def _said(base: DataFrame) -> DataFrame:
     """Staged turns in order: seq grows with (conversation, turn, role, text), pid is the part of the order that a row is in."""
     ranged = base.repartitionByRange("conv_key", "turn", "role", F.substring("text", 1, 64)).sortWithinPartitions("conv_key", "turn", "role", "text")
     return staged(ranged.select(
-        "conv_key", "conv_id", "role", "text", token_estimate(F.col("text")).alias("tokens"),
+        "conv_key", "conv_id", "role", "text", "tokens",
         F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("seq"),
     ), "chat-turns")
 
@@ -139,7 +169,7 @@ def _hot_turns(base: DataFrame, budget: int, history_turns: int) -> DataFrame:
     ).withColumn("repeated", F.lit(True))
     cols = ["seq", "conv_key", "conv_id", "window_start", "idx", "tokens", "repeated"]
     places = own.select(*cols).unionByName(again.select(*cols))
-    # a window is bounded by the budget: every turn counts 4 tokens at least
+    # a window is one long turn, or its turns are under the budget
     return said.select("seq", "role", "text").join(places, "seq").groupBy("conv_key", "conv_id", "window_start").agg(
         F.array_sort(F.collect_list(F.struct("idx", "role", "text", "tokens", "repeated"))).alias("turns")
     )
@@ -151,7 +181,7 @@ def _turns(base: DataFrame, budget: int, history_turns: int) -> DataFrame:
     order = Window.partitionBy("conv_key").orderBy("turn", "role", "text")
     sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_long = F.col("tokens") > cell
-    summed = base.withColumn("tokens", token_estimate(F.col("text"))).withColumns({
+    summed = base.withColumns({
         "idx": F.row_number().over(order).cast("long") - 1, "end_tok": F.sum("tokens").over(sofar), "longs": F.sum(is_long.cast("long")).over(sofar),
     }).withColumns({
         "start_tok": F.col("end_tok") - F.col("tokens"), "span": F.struct("longs", is_long.alias("is_long"), F.when(is_long, F.lit(0)).otherwise(F.floor((F.col("end_tok") - 1) / cell)).alias("cell")),
@@ -175,7 +205,6 @@ def _turns(base: DataFrame, budget: int, history_turns: int) -> DataFrame:
 def _formatted(windows: DataFrame, budget: int) -> DataFrame:
     """conv_key, conv_id, window_start, window_tokens, over_budget, n_repeated, formatted, loss_spans."""
     head = lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"))
-    piece = lambda t: F.concat(head(t), t["text"], F.lit(END + "\n"))
     nothing = F.array().cast("array<struct<start:int,length:int>>")
 
     def step(a: Column, t: Column) -> Column:
@@ -189,25 +218,25 @@ def _formatted(windows: DataFrame, budget: int) -> DataFrame:
     total = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["tokens"])
     return windows.select(
         "conv_key", "conv_id", "window_start", total.alias("window_tokens"), (total > budget).alias("over_budget"), F.size(F.filter("turns", lambda t: t["repeated"])).alias("n_repeated"),
-        F.array_join(F.transform("turns", piece), "").alias("formatted"), F.aggregate("turns", F.struct(F.lit(0).alias("at"), nothing.alias("loss")), step, lambda a: a["loss"]).alias("loss_spans"),
+        F.array_join(F.transform("turns", lambda t: piece(t["role"], t["text"])), "").alias("formatted"), F.aggregate("turns", F.struct(F.lit(0).alias("at"), nothing.alias("loss")), step, lambda a: a["loss"]).alias("loss_spans"),
     )
 
 
-def _both(turns: DataFrame, budget: int, history_turns: int, hot_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+def _both(turns: DataFrame, budget: int, history_turns: int, hot_bytes: int, tokens: str | None) -> tuple[DataFrame, DataFrame | None]:
     if budget < 4 or history_turns < 0:
         raise ValueError("budget must be 4 or more and history_turns 0 or more")
-    rest, hot = _split(_base(turns), hot_bytes)
+    rest, hot = _split(_base(turns, tokens), hot_bytes)
     return _formatted(_turns(rest, budget, history_turns), budget), None if hot is None else _formatted(_hot_turns(hot, budget, history_turns), budget)
 
 
-def chat_windows(turns: DataFrame, budget: int = 2048, history_turns: int = 2, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def chat_windows(turns: DataFrame, budget: int = 8192, history_turns: int = 2, hot_bytes: int = HOT_BYTES, tokens: str | None = None) -> DataFrame:
     """One row per window: formatted text, loss spans (code points into it) and how many turns it repeats.
 
-    ``turns``: conv_id, turn, role, text. Repeated turns are the system turn (a
+    ``turns``: conv_id, turn, role, text, and ``tokens`` if a column of counts is named. Repeated turns are the system turn (a
     conversation's first turn, if its role is system) and up to
     ``history_turns`` turns before the span, of at most budget/4 tokens.
     """
-    rest, hot = _both(turns, budget, history_turns, hot_bytes)
+    rest, hot = _both(turns, budget, history_turns, hot_bytes, tokens)
     return rest if hot is None else rest.unionByName(hot)
 
 
@@ -226,9 +255,9 @@ def window_digests(windows: DataFrame) -> DataFrame:
     return _digests(windows.repartition("conv_key").sortWithinPartitions("conv_key", "window_start"))
 
 
-def chat_digests(turns: DataFrame, budget: int = 2048, history_turns: int = 2, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def chat_digests(turns: DataFrame, budget: int = 8192, history_turns: int = 2, hot_bytes: int = HOT_BYTES, tokens: str | None = None) -> DataFrame:
     """``window_digests`` of ``chat_windows``; windows of conversations that are not hot are read where they were made."""
-    rest, hot = _both(turns, budget, history_turns, hot_bytes)
+    rest, hot = _both(turns, budget, history_turns, hot_bytes, tokens)
     # the row number asks for the order that is there but for a sort within tasks
     done = _digests(rest.withColumn("place", F.row_number().over(Window.partitionBy("conv_key").orderBy("window_start"))))
     return done if hot is None else done.unionByName(window_digests(hot))

@@ -27,7 +27,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast("long").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"),
     )
-    return chat.chat_digests(turns.unionByName(extra))
+    return chat.chat_digests(turns.unionByName(extra), budget=8192)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +81,12 @@ OP1_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
 e AS (SELECT *, replace(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\', '\\'), chr(10), '\n') AS r, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS t FROM c),
-n AS (SELECT *, len(regexp_extract_all(t, '[\p{L}\p{N}]{1,4}|[^\x09-\x0D\x20\p{L}\p{N}]')) + 4 AS tokens FROM e),
-o AS (SELECT *, row_number() OVER w - 1 AS idx, sum(tokens) OVER w - tokens AS start_tok, sum(CAST(tokens > 512 AS INTEGER)) OVER w AS longs, 24 + length(r) + length(t) AS chars
+n AS (SELECT *, 24 + strlen(r) + strlen(t) AS tokens FROM e),
+o AS (SELECT *, row_number() OVER w - 1 AS idx, sum(tokens) OVER w - tokens AS start_tok, sum(CAST(tokens > 2048 AS INTEGER)) OVER w AS longs, 24 + length(r) + length(t) AS chars
       FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t ROWS UNBOUNDED PRECEDING)),
-s AS (SELECT conv_id, min(idx) AS ws, min(start_tok) AS span_tok FROM o GROUP BY conv_id, longs, tokens > 512, CASE WHEN tokens > 512 THEN 0 ELSE (start_tok + tokens - 1) // 512 END),
+s AS (SELECT conv_id, min(idx) AS ws, min(start_tok) AS span_tok FROM o GROUP BY conv_id, longs, tokens > 2048, CASE WHEN tokens > 2048 THEN 0 ELSE (start_tok + tokens - 1) // 2048 END),
 a AS (SELECT o.conv_id, sum(chars) AS chars FROM o JOIN s ON o.conv_id IS NOT DISTINCT FROM s.conv_id
-      WHERE idx < ws AND (idx = 0 AND r = 'system' OR idx >= ws - 2 AND span_tok - start_tok <= 512) GROUP BY o.conv_id),
+      WHERE idx < ws AND (idx = 0 AND r = 'system' OR idx >= ws - 2 AND span_tok - start_tok <= 2048) GROUP BY o.conv_id),
 f AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256, sum(chars) AS chars,
              CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
              sha256(coalesce(string_agg(text, '' ORDER BY idx) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256 FROM o GROUP BY conv_id)
