@@ -14,7 +14,7 @@ A store is a Parquet table of such files in the shared folder (part, chunk,
 first: ids before the file within its part, n_ids, payload), ordered by doc_id.
 
 Cases: null text is empty text; every document ends with the end id, so none is
-empty; null ids come first; rows that repeat an id are ordered by a hash of
+empty; very long texts are encoded in parts cut at white space; null ids come first; rows that repeat an id are ordered by a hash of
 their text; extra columns are ignored; an empty table gives an empty store.
 """
 
@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -323,8 +325,11 @@ class WordEncoder:
         parts = [self._cut(texts[i : i + part]) for i in range(0, len(texts), part)]
         one, head, tail, per_text = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5, 6))
         _, first, which = np.unique(one, return_index=True, return_inverse=True)
-        if not (np.array_equal(head, head[first][which]) and np.array_equal(tail, tail[first][which])):
-            raise ArithmeticError("two pieces share a hash")
+        if not (np.array_equal(head, head[first][which]) and np.array_equal(tail, tail[first][which])):  # pieces that share a hash stay apart
+            order = np.lexsort((tail, head, one))
+            new = np.concatenate(([True], np.any([x[order][1:] != x[order][:-1] for x in (one, head, tail)], axis=0)))
+            first, which = order[new], np.empty(len(one), np.int64)
+            which[order] = np.cumsum(new) - 1
         one, head, tail = one[first], head[first], tail[first]
         begin, size, flat = self.known.find(one, head, tail)
         new = np.nonzero(begin < 0)[0]
@@ -366,17 +371,56 @@ def _piece_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
 
 
 _encoders: dict[str, WordEncoder] = {}
+_BLANK = re.compile(r"[\t-\r ]")
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, file_ids: int = FILE_IDS, batch: int = 1600) -> DataFrame:
+def encoder_of(path: str) -> WordEncoder:
+    """A worker's encoder, kept for its later tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
+def segments(text: str, most: int) -> Iterator[str]:
+    """A text cut at white space into parts of about ``most`` characters; its ids are those of the parts."""
+    at = 0
+    while len(text) - at > most and (cut := _BLANK.search(text, at + most)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def encode_bounded(encoder: WordEncoder, texts: list[str], rows: int = 1600, chars: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(text, ids, is its last part) in order; so many texts and characters are encoded at a time, so memory does not follow the longest text."""
+    held, size = [], 0
+
+    def done() -> Iterator[tuple[int, np.ndarray, bool]]:
+        ids, counts = encoder.encode([t for _, t, _ in held])
+        stop = 0
+        for (i, _, last), n in zip(held, counts, strict=True):
+            stop += n
+            yield i, ids[stop - n : stop], last
+
+    for i, text in enumerate(texts):
+        parts = [text] if len(text) <= chars else list(segments(text, chars))
+        for k, part in enumerate(parts):
+            held.append((i, part, k == len(parts) - 1))
+            size += len(part)
+            if size >= chars or len(held) >= rows:
+                yield from done()
+                held, size = [], 0
+    if held:
+        yield from done()
+
+
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, file_ids: int = FILE_IDS) -> DataFrame:
     """The staged store of all documents (doc_id, text), in ascending doc_id order.
 
     The tokenizer file must be one that drops white space (see WordEncoder).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoders.setdefault(tokenizer_path, None) or WordEncoder(tokenizer_path)
-        _encoders[tokenizer_path] = encoder
+        encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], "<u4")
         part, chunk, first, held, names, lengths = None, 0, 0, [], [], []
 
@@ -387,18 +431,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, file_ids: in
             chunk, first, held, names, lengths = chunk + 1, first + len(ids), [], [], []
             return row
 
-        size = 0
+        size, n = 0, 0
         for pdf in batches:
-            part = int(pdf.part.iloc[0])
-            for at in range(0, len(pdf), batch):
-                some = pdf.iloc[at : at + batch]
-                got, counts = encoder.encode(list(some.text))
-                upto = np.cumsum(counts).tolist()
-                for d, n, stop in zip(some.doc_id, counts, upto, strict=True):
-                    held += (got[stop - n : stop], end)
+            part, ids_of = int(pdf.part.iloc[0]), list(pdf.doc_id)
+            for i, got, last in encode_bounded(encoder, list(pdf.text)):
+                held.append(got)
+                n += len(got)
+                if last:
+                    held.append(end)
+                    d = ids_of[i]
                     names.append(None if pd.isna(d) else int(d))
                     lengths.append(n + 1)
-                    size += n + 1
+                    size, n = size + n + 1, 0
                     if size >= file_ids:
                         yield flush()
                         size = 0
@@ -436,11 +480,25 @@ def read_tokens(store: DataFrame) -> DataFrame:
 
 
 def export_files(store: DataFrame, folder: str) -> int:
-    """Writes every file of a store into a local folder, one file at a time; returns how many."""
-    os.makedirs(folder, exist_ok=True)
-    n = 0
-    for r in store.orderBy("part", "chunk").toLocalIterator():
-        with open(f"{folder}/{r['part']:06d}-{r['chunk']:06d}.lks8", "wb") as f:
-            f.write(r["payload"])
-        n += 1
-    return n
+    """Writes every file of a store into ``folder``, a URI of any store that pyarrow opens; returns how many.
+
+    The executors write, each file under a name of its own first, so that one
+    that is lost leaves no half file and a second attempt ends in the same files.
+    A local folder must be one that all executors share.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        for pdf in batches:
+            for part, chunk, payload in zip(pdf.part, pdf.chunk, pdf.payload, strict=True):
+                path = f"{base}/{part:06d}-{chunk:06d}.lks8"
+                own = f"{path}.{uuid.uuid4().hex}"
+                with files.open_output_stream(own) as f:
+                    f.write(payload)
+                files.move(own, path)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return store.select("part", "chunk", "payload").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
