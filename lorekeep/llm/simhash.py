@@ -41,7 +41,9 @@ from pyspark.sql import functions as F
 from ..scratch import delete
 from .common import fresh_name, skew_join, staged
 
-SHINGLE, RADIUS, BLOCK, STRIP, PARTNERS, SALTS, PAIRS = 4, 4, 64, 4096, 64, 16, 1 << 20
+SHINGLE, RADIUS, BLOCK, STRIP, PARTNERS, PAIRS = 4, 4, 64, 4096, 64, 1 << 20
+#: Up to so many rows of two or three numbers, one key may have all of them in a task; beyond, hot keys are split.
+ONE_TASK_ROWS = 20_000_000
 #: Bit counts that sort fingerprints, and their bits in the sort key; the others follow from them.
 _KEY = ((1, 6), (2, 6), (3, 5), (5, 5), (7, 4), (9, 4), (11, 4), (13, 4))
 
@@ -225,11 +227,17 @@ def link_forest(fps: DataFrame, radius: int = RADIUS, tile_rows: int | None = No
     return sent.repartition(min(max(len(ids), 1) * 2, 20_000), "task", "chunk").groupBy("task", "chunk").applyInPandas(compare, "u long, v long")
 
 
+def _meet(big: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame:
+    """``big`` (so many rows of numbers) joined with ``small`` (a row a key; n: rows of ``big`` with it)."""
+    return big.join(small.drop("n"), key) if rows <= ONE_TASK_ROWS else skew_join(big, small, key, "n", max(rows // 1000, 10_000))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node on an edge (u, v); root is the least node of its component.
 
     Alternating large-star and small-star steps, each round written to the shared
-    folder; it ends when a round changes nothing.
+    folder; it ends when a round changes nothing. Each step shuffles once, by
+    node: sums, joins and distinct rows share that partitioning.
     """
     spark = edges.sparkSession
     edges = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
@@ -238,13 +246,14 @@ def components(edges: DataFrame) -> DataFrame:
         row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if row["n"] == 0 or (row["n"], row["s"]) == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        mark, hot = (row["n"], row["s"]), max(row["n"] // 1000, 10_000)
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        mark, parts = (row["n"], row["s"]), -(-row["n"] // 250_000)
+        by_node = lambda df: df.repartition(parts, "u")  # noqa: E731, B023
+        both = by_node(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = skew_join(both, least, "u", "n", hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = by_node(_meet(both, least, "u", 2 * row["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = skew_join(large, low, "u", "n", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        done, edges = edges, staged(small.where("u <> v").distinct(), "links")
+        small = _meet(large, low, "u", row["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        done, edges = edges, staged(by_node(small.where("u <> v")).distinct(), "links")
         delete(spark, done.inputFiles()[0].rpartition("/")[0])
 
 
@@ -253,17 +262,16 @@ def _classes(fp_table: DataFrame, id_col: str, radius: int) -> DataFrame:
     distinct = staged(fp_table.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints")
     roots = components(link_forest(distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-    # a class may hold a third of all fingerprints: its rows meet the class id in SALTS tasks
-    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("fp", "class_id", "root")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
+    return _meet(rooted, ids, "root", distinct.count()).select("fp", "class_id", "root")
 
 
 def _with_classes(fps: DataFrame, radius: int, what: str) -> DataFrame:
-    """``fps`` with a column of its classes; a fingerprint of many rows does not meet its class in one task."""
-    n = fps.groupBy("fp").agg(F.count("*").alias("n"))
-    classes = _classes(fps, "doc_id", radius).select("fp", what).join(n, "fp")
-    return skew_join(fps, classes, "fp", "n", max(fps.count() // 1000, 10_000))
+    """``fps`` with a column of its classes; a fingerprint may have very many rows."""
+    rows, classes = fps.count(), _classes(fps, "doc_id", radius).select("fp", what)
+    if rows > ONE_TASK_ROWS:
+        classes = classes.join(fps.groupBy("fp").agg(F.count("*").alias("n")), "fp")
+    return _meet(fps, classes, "fp", rows)
 
 
 def simhash_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -242,8 +242,10 @@ def test_tiles_across_tasks_equal_brute_force(spark, monkeypatch):
     assert len(u) == len(fps) - len(set(want))
 
 
-def test_components_with_hot_nodes_and_repeated_rows(spark, monkeypatch):
-    """A node of very many links, and half of all rows equal: both go by the ways for hot keys."""
+@pytest.mark.parametrize("one_task_rows", [simhash.ONE_TASK_ROWS, 0])
+def test_components_with_hot_nodes_and_repeated_rows(spark, monkeypatch, one_task_rows):
+    """A node of very many links, and half of all rows equal; with 0 both go by the ways for hot keys."""
+    monkeypatch.setattr(simhash, "ONE_TASK_ROWS", one_task_rows)
     star = spark.range(1, 30_001).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
     got = simhash.components(star)
     assert got.where("root <> 0").count() == 0 and got.count() == 30_001
