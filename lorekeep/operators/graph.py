@@ -37,14 +37,22 @@ def match(edges: DataFrame, nodes: DataFrame, start, steps: Sequence[Step]) -> D
     The score is the weight of the first edge that ever reached the node in the
     walk; the start counts as reached, at 0.
     """
-    live = nodes.select("id").distinct()
-    frontier = live.where(F.col("id") == F.lit(start)).select("id", F.lit(-1).cast("long").alias("seq"))
+    spark = edges.sparkSession
+    frontier = nodes.where(F.col("id") == F.lit(start)).select("id", F.lit(-1).cast("long").alias("seq")).limit(1)
     seen = frontier.select("id", F.struct(F.lit(-1).alias("hop"), F.lit(-1).cast("long").alias("seq")).alias("at"), F.lit(0.0).cast("double").alias("weight"))
+    small = True
     for hop, step in enumerate(steps):
-        near = F.broadcast(frontier.select(F.col("id").alias("near"))) if hop == 0 else frontier.select(F.col("id").alias("near"))
-        reached = directed(edges, step).join(near, "near", "left_semi").groupBy(F.col("far").alias("id")).agg(
+        near = frontier.select(F.col("id").alias("near"))
+        reached = directed(edges, step).join(F.broadcast(near) if small else near, "near", "left_semi").groupBy(F.col("far").alias("id")).agg(
             F.min("seq").alias("seq"), F.min_by(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), "seq").alias("weight")
-        ).join(live, "id", "left_semi")
+        )
+        held = reached.limit(LOCAL_EDGES + 1).collect() if small else []
+        if small := small and len(held) <= LOCAL_EDGES:  # few nodes: they go to the table of nodes, not it to them
+            reached = spark.createDataFrame(held, reached.schema)
+            alive = {r["id"] for r in nodes.select("id").join(F.broadcast(reached.select("id")), "id", "left_semi").distinct().collect()}
+            reached = spark.createDataFrame([r for r in held if r["id"] in alive], reached.schema)
+        else:
+            reached = staged(reached.join(nodes.select("id"), "id", "left_semi"), "reached")
         frontier = reached.select("id", "seq")
         seen = seen.unionByName(reached.select("id", F.struct(F.lit(hop).alias("hop"), F.col("seq").alias("seq")).alias("at"), "weight"))
     first = seen.groupBy("id").agg(F.min_by("weight", "at").alias("score"))

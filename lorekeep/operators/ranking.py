@@ -19,8 +19,9 @@ from pyspark.sql.window import Window
 
 from ..functions.text import bm25, corpus_stats, query_terms, with_counts
 from ..functions.vectors import cosine
-from ..scratch import staged
-from .ranks import global_rank
+from ..scratch import spread, staged
+from . import ranks
+from .lexicon import Lexicon
 
 RRF = 60
 ORDERS = ("similarity", "salience", "score", "votes", "feedback", "recency")
@@ -63,11 +64,12 @@ def descending(score: Column) -> Column:
 
 
 def rank(records: DataFrame, ids: Sequence[str], what: Ranking, votes: DataFrame | None = None, text: Column | None = None,
-         embedding: str = "embedding", created_at: str = "created_at", single: bool = False, position: bool = False) -> DataFrame:
+         embedding: str = "embedding", created_at: str = "created_at", single: bool = False, position: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
     """``records`` with ``score``, ordered and capped (and ``pos`` from 0, if ``position``).
 
     ``ids``: columns of ascending record id order. ``votes``: vote aggregates
     keyed by ``ids``. ``text``: the lexical field, by default the column named.
+    ``lexicon``: stored token counts of exactly these records.
     """
     if what.order is not None and what.order not in ORDERS:
         raise ValueError(f"unknown order {what.order}")
@@ -77,18 +79,28 @@ def rank(records: DataFrame, ids: Sequence[str], what: Ranking, votes: DataFrame
     stats = None
     if what.lexical:
         terms = query_terms(what.lexical.query)
-        df = with_counts(df.withColumn("__text", F.col(what.lexical.field) if text is None else text), "__text", terms)
-        stats = corpus_stats(df, len(terms))
+        if lexicon is not None:
+            df, stats = df.join(lexicon.counts(terms), list(ids), "left"), lexicon.stats(terms)
+        else:
+            # texts are cut once: the counts are read again for the scores, and the texts are not
+            df = with_counts(spread(df).withColumn("__text", F.col(what.lexical.field) if text is None else text), "__text", terms).drop("__text")
+            df = staged(df, "counts")
+            stats = corpus_stats(df, len(terms))
     if what.needs_votes:
         if votes is None:
             score_votes = {"laplace": F.lit(0.5), "net": F.lit(0), "feedback": F.lit(0.0)}
         else:
             df = df.join(votes.select(*ids, "laplace", "net", "feedback"), list(ids), "left")
             score_votes = {"laplace": F.coalesce("laplace", F.lit(0.5)), "net": F.coalesce("net", F.lit(0)), "feedback": F.coalesce("feedback", F.lit(0.0))}
+    full = None
     if what.lexical and what.knn:
-        df = df.withColumns({"__lex": bm25(stats), "__sim": sim}).drop("__text", "__dl", "__tf")
-        df = global_rank(df, [descending(F.col("__lex")), *by_id], "__rl", n := df.count())
-        df = global_rank(df, [descending(F.col("__sim")), *by_id], "__rv", n)
+        df = df.withColumns({"__lex": bm25(stats), "__sim": sim}).drop("__dl", "__tf")
+        if (n := df.count()) > ranks.SMALL:  # ranks are taken of ids and scores; the rows come back to those that stay
+            full = staged(df.withColumn("__row", F.monotonically_increasing_id()), "hybrid")
+            order_by = [created_at] if what.order == "recency" else []
+            df = full.select("__row", "__lex", "__sim", *dict.fromkeys([*ids, *order_by]))
+        df = ranks.global_rank(df, [descending(F.col("__lex")), *by_id], "__rl", n)
+        df = ranks.global_rank(df, [descending(F.col("__sim")), *by_id], "__rv", n)
         score = F.lit(1.0) / (F.lit(float(RRF)) + F.col("__rl")) + F.lit(1.0) / (F.lit(float(RRF)) + F.col("__rv"))
     elif what.lexical:
         score = bm25(stats)
@@ -99,21 +111,26 @@ def rank(records: DataFrame, ids: Sequence[str], what: Ranking, votes: DataFrame
         score = score_votes[{"score": "laplace", "votes": "net", "feedback": "feedback"}[what.order]].cast("double")
     else:
         score = sim if what.knn else F.lit(0.0)
-    df = df.select(*[F.col(f"`{c}`") for c in kept], score.cast("double").alias("score"))
+    held = kept if full is None else ["__row", *[c for c in df.columns if c in kept]]
+    df = df.select(*[F.col(f"`{c}`") for c in held], score.cast("double").alias("score"))
     if what.order == "recency":
         order = [F.col(created_at).desc_nulls_last(), *by_id]
     elif what.order or what.knn or what.lexical:
         order = [descending(F.col("score")), *by_id]
     else:
         order = by_id
+    if full is not None:
+        if what.cap is not None:
+            df = df.orderBy(*order).limit(what.cap)
+        df = full.select("__row", *[F.col(f"`{c}`") for c in kept]).join(df.select("__row", "score"), "__row").drop("__row")
     df = df.orderBy(*order)
-    if what.cap is not None:
+    if what.cap is not None and full is None:
         df = df.limit(what.cap)
     if not position:
         return df
     if what.cap is not None and what.cap <= 1_000_000:
         return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    ranked = global_rank(df, order, "pos")
+    ranked = ranks.global_rank(df, order, "pos")
     return ranked.withColumn("pos", F.col("pos") - 1)
 
 

@@ -16,6 +16,7 @@ from .functions.text import tokenize
 from .functions.vectors import cosine
 from .operators import graph
 from .operators.filters import column_equals, has_embedding
+from .operators.lexicon import Lexicon
 from .operators.metrics import recall_precision
 from .operators.ranking import Knn, Lexical, Ranking, knn_batch, rank
 from .operators.ranks import global_rank
@@ -108,12 +109,6 @@ def order_recency(spark, d):
     return source.select(Select("events", FieldEquals("event_type", "click"), order="recency", limit=100)).select("event_id", "user_id")
 
 
-@query("SELECT doc_id, source FROM documents WHERE source = 'src1'")
-def memory_scoped(spark, d):
-    df = table(spark, d, "documents").withColumnRenamed("source", "memory")
-    return df.where(F.col("memory") == "src1").select("doc_id", F.col("memory").alias("source"))
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3")
 def projection_fields(spark, d):
     source = RecordSource("customer", table(spark, d, "customer"), "c_custkey")
@@ -239,9 +234,20 @@ def tokenize_all(spark, d):
     return table(spark, d, "documents").withColumn("w", tokenize(F.col("text"))).select("doc_id", F.size("w").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("tokens"))
 
 
+_lexicons: dict[tuple[str, str], Lexicon] = {}
+
+
+def lexicon(spark: SparkSession, d: str) -> Lexicon:
+    """Token counts of the documents, made by the first query of a session over them and read by all later ones."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _lexicons:
+        _lexicons[key] = Lexicon(table(spark, d, "documents"), ["doc_id"], "text")
+    return _lexicons[key]
+
+
 def _bm25(spark, d, words, k, **more):
-    docs = table(spark, d, "documents").select("doc_id", "text", "n_chars")
-    return rank(docs, ["doc_id"], Ranking(lexical=Lexical("text", words, k), **more)).select("doc_id", F.round("score", 6).alias("score"))
+    docs = table(spark, d, "documents").select("doc_id")
+    return rank(docs, ["doc_id"], Ranking(lexical=Lexical("text", words, k), **more), lexicon=lexicon(spark, d)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM25_SQL} SELECT doc_id, round(s, 6)::DOUBLE AS score FROM b")
@@ -254,6 +260,13 @@ def bm25_k(spark, d):
     return _bm25(spark, d, WORDS, 20)
 
 
+@query(f"WITH {BM25_SQL} SELECT doc_id, round(s, 6)::DOUBLE AS score FROM b ORDER BY round(s, 12) DESC, doc_id LIMIT 20")
+def bm25_of_texts(spark, d):
+    """The same from the texts themselves, as a log or a table without stored counts is searched."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return rank(docs, ["doc_id"], Ranking(lexical=Lexical("text", WORDS, 20))).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT doc_id, 0.0::DOUBLE AS score FROM documents ORDER BY doc_id LIMIT 10")
 def bm25_empty_query(spark, d):
     return _bm25(spark, d, " ... ", 10)
@@ -263,9 +276,9 @@ HYBRID_SQL = f"""r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY s DES
 
 
 def _hybrid(spark, d, **more):
-    docs = table(spark, d, "documents").select("doc_id", "text", "n_chars").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
+    docs = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
     what = Ranking(knn=Knn(query_vector(spark, d), 100), lexical=Lexical("text", WORDS), **more)
-    return rank(docs, ["doc_id"], what, created_at="n_chars").select("doc_id", F.round("score", 9).alias("score"))
+    return rank(docs, ["doc_id"], what, created_at="n_chars", lexicon=lexicon(spark, d)).select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {BM25_SQL}, {HYBRID_SQL} SELECT doc_id, round(1.0::DOUBLE / (60 + rl) + 1.0::DOUBLE / (60 + rv), 9) AS score FROM r ORDER BY 1.0::DOUBLE / (60 + rl) + 1.0::DOUBLE / (60 + rv) DESC, doc_id LIMIT 100")
@@ -330,7 +343,7 @@ def forget_edges(spark, d):
 # ------------------------------------------------------------------ graph
 
 
-def _placed(spark, d) -> DataFrame:
+def placed(spark, d) -> DataFrame:
     o = table(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.lit("placed").alias("name"),
                     F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"), F.col("o_totalprice").alias("weight"), F.col("o_orderstatus").alias("status"))
@@ -342,7 +355,7 @@ def _contains(spark, d) -> DataFrame:
                     F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.col("l_quantity").alias("weight"), F.col("l_returnflag").alias("status"))
 
 
-def _nodes(*edge_tables: DataFrame) -> DataFrame:
+def edges_nodes(*edge_tables: DataFrame) -> DataFrame:
     out = None
     for e in edge_tables:
         both = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id")))
@@ -352,26 +365,26 @@ def _nodes(*edge_tables: DataFrame) -> DataFrame:
 
 @query("SELECT 'o' || o_orderkey AS id, round(o_totalprice, 4) AS score, o_orderkey AS seq FROM orders WHERE o_custkey = 7")
 def match_out(spark, d):
-    e = _placed(spark, d)
-    return graph.match(e, _nodes(e), "c7", [("out", "placed", None)]).withColumn("score", F.round("score", 4))
+    e = placed(spark, d)
+    return graph.match(e, edges_nodes(e), "c7", [("out", "placed", None)]).withColumn("score", F.round("score", 4))
 
 
 @query("SELECT 'o' || l_orderkey AS id, min_by(l_quantity, l_orderkey * 8 + l_linenumber) AS score, min(l_orderkey * 8 + l_linenumber) AS seq FROM lineitem WHERE l_partkey = 11 GROUP BY l_orderkey")
 def match_in(spark, d):
     e = _contains(spark, d)
-    return graph.match(e, _nodes(e), "p11", [("in", "contains", None)])
+    return graph.match(e, edges_nodes(e), "p11", [("in", "contains", None)])
 
 
 @query("""SELECT 'p' || l_partkey AS id, min_by(l_quantity, l_orderkey * 8 + l_linenumber) AS score, min(l_orderkey * 8 + l_linenumber) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 7 GROUP BY l_partkey""")
 def match_two_hop(spark, d):
-    a, b = _placed(spark, d), _contains(spark, d)
-    return graph.match(a.unionByName(b), _nodes(a, b), "c7", [("out", "placed", None), ("out", "contains", None)])
+    a, b = placed(spark, d), _contains(spark, d)
+    return graph.match(a.unionByName(b), edges_nodes(a, b), "c7", [("out", "placed", None), ("out", "contains", None)])
 
 
 @query("SELECT 'o' || o_orderkey AS id, round(o_totalprice, 4) AS score, o_orderkey AS seq FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F'")
 def match_props(spark, d):
-    e = _placed(spark, d)
-    return graph.match(e, _nodes(e), "c7", [("out", "placed", F.col("status") == "F")]).withColumn("score", F.round("score", 4))
+    e = placed(spark, d)
+    return graph.match(e, edges_nodes(e), "c7", [("out", "placed", F.col("status") == "F")]).withColumn("score", F.round("score", 4))
 
 
 def _turns(spark, d) -> DataFrame:
@@ -399,21 +412,21 @@ def closure_back(spark, d):
 RING_SQL = "WITH RECURSIVE r AS (SELECT 3 AS id, 0::BIGINT AS depth UNION SELECT (r.id + 1) % 25, depth + 1 FROM r WHERE depth < 25) SELECT id, min(depth) AS depth, min(depth) AS pos FROM r GROUP BY id"
 
 
-def _ring(spark, d) -> tuple[DataFrame, DataFrame]:
+def ring(spark, d) -> tuple[DataFrame, DataFrame]:
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
     return n.select(F.col("id").cast("long").alias("seq"), F.col("id").alias("src"), F.lit("next").alias("name"), ((F.col("id") + 1) % 25).alias("dst"), F.lit(1.0).alias("weight")), n
 
 
 @query(RING_SQL)
 def closure_cycle(spark, d):
-    e, n = _ring(spark, d)
+    e, n = ring(spark, d)
     return graph.closure(e, n, 3, [("out", "next", None)])
 
 
 @query(RING_SQL)
 def closure_cycle_staged(spark, d):
     """The same ring walked level by level on staged tables, as a walk over many edges is."""
-    e, n = _ring(spark, d)
+    e, n = ring(spark, d)
     return graph.closure(e, n, 3, [("out", "next", None)], local_edges=0)
 
 
@@ -423,23 +436,12 @@ def closure_cycle_staged(spark, d):
 @query(f"""WITH {BM25_SQL}, top AS (SELECT doc_id FROM b ORDER BY round(s, 12) DESC, doc_id LIMIT 100), rel AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
 h AS (SELECT count(*) AS hits FROM top WHERE doc_id IN (SELECT doc_id FROM rel)) SELECT hits, hits / (SELECT count(*) FROM rel)::DOUBLE AS recall, hits / 100.0::DOUBLE AS precision FROM h""")
 def recall_precision_bm25(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    got = rank(docs, ["doc_id"], Ranking(lexical=Lexical("text", WORDS, 100)), position=True)
+    docs = table(spark, d, "documents").select("doc_id")
+    got = rank(docs, ["doc_id"], Ranking(lexical=Lexical("text", WORDS, 100)), position=True, lexicon=lexicon(spark, d))
     relevant = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
     return recall_precision(got.select(F.col("doc_id").alias("id"), "pos"), relevant, 100)
 
 
-@query("SELECT 'SELECT nation (1 rows)' AS head, n_name AS name, 'nation:' || n_nationkey AS rid FROM nation WHERE n_nationkey = 4")
-def language_session(spark, d):
-    """A program in the query language over a log and over a typed table."""
-    from .session import Session
-
-    session = Session(spark)
-    session.register(RecordSource("nation", table(spark, d, "nation").select("n_nationkey", "n_name", F.col("n_nationkey").cast("long").alias("key")), "n_nationkey"))
-    (result,) = session.run("SELECT * FROM nation WHERE key = 4")
-    return result.df.select(F.lit(result.label + " (1 rows)").alias("head"), F.col("n_name").alias("name"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("rid"))
-
-
 @query(f"SELECT vec_id, round({SIM}, 5)::DOUBLE AS score FROM embeddings e ORDER BY {SIM} DESC, vec_id LIMIT 3")
 def knn_single_precision(spark, d):
     q = query_vector(spark, d)

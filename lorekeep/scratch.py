@@ -52,6 +52,21 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Up to so many bytes a table of fewer files than cores is dealt over all cores before it is worked on.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of few files over all cores: a row group cannot be split, so a scan of one is one task.
+
+    Tables of more files or bytes, and rows that come from elsewhere, stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not 0 < len(df.inputFiles()) < cores or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what was staged within. Results that are still to be read must be written before."""

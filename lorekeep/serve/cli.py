@@ -1,4 +1,4 @@
-"""Console: ``python -m lorekeep.serve.cli [--db PATH] [--script FILE | --lines]``."""
+"""Console: ``python -m lorekeep.serve.cli [--db PATH] [--script FILE | --lines | --tcp PORT]``."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from ..session import Session
-from .lines import LineServer
+from .lines import LineServer, serve_tcp
 from .render import block, store_dump
 
 HELP = ":help  :store  :clear  :flush  :quit"
@@ -24,6 +24,12 @@ def run_text(session: Session, text: str, sink=sys.stdout) -> bool:
         return False
 
 
+def run_script(session: Session, path: str, sink=sys.stdout) -> bool:
+    """A program file, read by Spark, so that it may lie in any store."""
+    text = session.spark.read.text(path, wholetext=True).first()
+    return run_text(session, text["value"] if text else "", sink)
+
+
 def command(session: Session, text: str, sink=sys.stdout) -> Session | None:
     """The session that goes on, or None at the end."""
     word = text.strip().lower()
@@ -45,15 +51,18 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--db")
     p.add_argument("--script")
     p.add_argument("--lines", action="store_true", help="one program a line on standard input")
+    p.add_argument("--tcp", type=int, metavar="PORT", help="the same over TCP")
+    p.add_argument("--host", default="127.0.0.1")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("lorekeep").getOrCreate()
     session = Session(spark, a.db)
     if a.lines:
         LineServer(session).serve(sys.stdin, sys.stdout)
         return 0
-    if a.script:  # read by Spark, so that it may lie in any store
-        text = spark.read.text(a.script, wholetext=True).first()
-        return int(not run_text(session, text["value"] if text else ""))
+    if a.tcp:
+        serve_tcp(session, a.host, a.tcp).serve_forever()
+    if a.script:
+        return int(not run_script(session, a.script))
     for text in sys.stdin:
         if text.lstrip().startswith(":"):
             if (session := command(session, text)) is None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import socketserver
+from threading import Lock
 from typing import TextIO
 
 from ..lang.parser import parse
@@ -31,3 +33,22 @@ class LineServer:
         for text in source:
             if answer := self.handle_line(text):
                 print(answer, file=sink, flush=True)
+
+
+def serve_tcp(session: Session, host: str = "127.0.0.1", port: int = 0) -> socketserver.ThreadingTCPServer:
+    """A server, bound and not yet started; each connection speaks the line protocol. Programs run one after another."""
+    lock = Lock()
+
+    class Connection(socketserver.StreamRequestHandler):
+        def handle(self) -> None:
+            server = LineServer(session)
+            for raw in self.rfile:
+                with lock:
+                    answer = server.handle_line(raw.decode("utf-8", "replace"))
+                if answer:
+                    self.wfile.write(f"{answer}\n".encode())
+
+    class Server(socketserver.ThreadingTCPServer):
+        daemon_threads = allow_reuse_address = True
+
+    return Server((host, port), Connection)

@@ -76,17 +76,14 @@ class Session:
         return self.execute(parse(text))
 
     def dims(self, memory: str = logs.ROOT) -> dict[str, int]:
-        return {r["tbl"]: r["dim"] for r in logs.dims(self.store.read(), memory).collect()}
+        return self.store.state().declared(memory)
 
     def execute(self, plan: list) -> list[QueryResult]:
         """One result per query. Nothing is written if a statement fails."""
-        base = self.store.read()
+        base, state = self.store.read(), self.store.state()
         if self.strict:
-            declared = {r["tbl"]: r["dim"] for r in base.where((F.col("op") == "create") & (F.col("memory") == logs.ROOT)).groupBy("tbl").agg(F.max_by("dim", "ts").alias("dim")).collect()}
-            plan = analyze(plan, declared | dict.fromkeys(self.sources))
-        writes = any(isinstance(s, MUTATIONS) for s in plan)
-        state = base.groupBy("memory").agg(F.max("ts").alias("t"), F.max("plan_id").alias("p")).collect() if writes else []
-        clock, plan_id = {r["memory"]: r["t"] for r in state}, max((r["p"] for r in state), default=0) + 1
+            plan = analyze(plan, state.dims.get(logs.ROOT, {}) | dict.fromkeys(self.sources))
+        clock, plan_id = dict(state.clocks), state.plan_id + 1
         known: dict[str, dict] = {}
         memory, new, results = logs.ROOT, [], []
         for s in plan:
@@ -96,7 +93,7 @@ class Session:
             if isinstance(s, MUTATIONS):
                 if isinstance(s, (CreateTable, Insert)):
                     if memory not in known:
-                        known[memory] = {r["tbl"]: r["dim"] for r in logs.dims(base, memory).collect()}
+                        known[memory] = state.declared(memory)
                     if isinstance(s, CreateTable):
                         if s.dim is not None and s.dim <= 0:
                             raise EngineError("a vector length must be positive")
@@ -127,19 +124,30 @@ class Session:
             got = graph.closure(edges, ids, str(s.start), steps).withColumn("score", F.col("depth").cast("double")).drop("depth")
         return QueryResult(s, nodes.join(got, nodes.rid == got.id).drop("id"))
 
+    @staticmethod
+    def _votes(log: DataFrame, memory: str, as_of: int | None, table: str | None = None) -> DataFrame:
+        """rid and id columns of what was voted on, weight, sign, created_at; of all tables, as the newest vote of any counts."""
+        cast = logs.edges(log, memory, as_of).where(F.col("name") == "voted")
+        mine = F.lit(True) if table is None else F.col("to_tbl") == table
+        return cast.select(
+            F.col("dst").alias("rid"), mine.alias("mine"), F.col("to_id_num").alias("id_num"), F.col("to_id_str").alias("id_str"), "weight", signs_of(F.col("props")).alias("sign"), "created_at",
+        )
+
     def _select(self, log: DataFrame, memory: str, s: Select) -> QueryResult:
-        if s.table in self.sources and s.as_of is None:
+        if s.table in self.sources:
+            if s.as_of is not None:
+                raise EngineError(f"table {s.table} is not in the log, so it has no AS OF")
             source = self.sources[s.table]
-            return QueryResult(s, source.select(s, position=True, single=self.single), source.id)
-        df = logs.records(log, memory, s.as_of).where(F.col("tbl") == s.table)
+            votes = source.votes(self._votes(log, memory, None, s.table)) if Ranking(s.knn, s.lexical, s.order).needs_votes else None
+            return QueryResult(s, source.select(s, votes, position=True, single=self.single), source.id)
+        df = logs.records(log, memory, s.as_of, s.table)
         if isinstance(s.where, FieldEquals):
             df = df.where(body_equals(F.col("body"), s.where.field, s.where.value))
         elif isinstance(s.where, HasEmbedding):
             df = df.where(F.col("embedding").isNotNull())
         ranking, votes = Ranking(s.knn, s.lexical, s.order, s.limit), None
         if ranking.needs_votes:
-            cast = logs.edges(log, memory, s.as_of).where(F.col("name") == "voted")
-            votes = vote_aggregates(cast.select(F.col("dst").alias("rid"), "weight", signs_of(F.col("props")).alias("sign"), "created_at"), ["rid"])
+            votes = vote_aggregates(self._votes(log, memory, s.as_of), ["rid"])
             # aggregates by the id's text, then keyed like the records
             votes = df.select(*ID_ORDER, "rid").join(votes, "rid").drop("rid")
             votes = votes.withColumns({"id_num": F.coalesce("id_num", F.lit(0)), "id_str": F.coalesce("id_str", F.lit(""))})

@@ -6,8 +6,6 @@ the rows of a batch; a replayed batch changes nothing.
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,31 +15,30 @@ from ..sources.log import SCHEMA, LogStore
 INPUT = f"source string, seq long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in SCHEMA.fields if f.name not in ('ts', 'plan_id'))}"
 
 
-def stamp(batch: DataFrame, log: DataFrame, plan_id: int) -> DataFrame:
+def stamp(batch: DataFrame, clocks: dict[str, int], plan_id: int) -> DataFrame:
     """Log rows of a batch: logical times go on from each memory's clock, in order of (source, seq)."""
-    clock = log.groupBy("memory").agg(F.max("ts").alias("__t"))
     once = batch.dropDuplicates(["source", "seq"])
     ranked = global_rank(once, [F.col("memory"), F.col("source"), F.col("seq")], "__n")
     first = ranked.groupBy("memory").agg(F.min("__n").alias("__first"))
-    timed = ranked.join(F.broadcast(first), "memory").join(F.broadcast(clock), "memory", "left")
+    clock = batch.sparkSession.createDataFrame(list(clocks.items()), "memory string, __t long")
+    timed = ranked.join(first, "memory").join(clock, "memory", "left")
     return timed.withColumns({"ts": F.coalesce("__t", F.lit(0)) + F.col("__n") - F.col("__first") + 1, "plan_id": F.lit(plan_id).cast("long")})
 
 
 def ingest(spark: SparkSession, folder: str, store: LogStore, checkpoint: str, trigger: dict | None = None):
-    """Starts a query that appends the mutation files of ``folder`` to ``store``; a batch is one plan.
+    """Starts a query that appends the mutation files of ``folder`` to ``store``; a batch is one plan and one commit.
 
-    A batch's plan id comes from the checkpoint's name and the batch number, so
-    a batch that is replayed after a failure finds itself in the log.
+    A commit names its stream (the checkpoint) and batch, so a batch that is
+    replayed after a failure is known; files of a batch that was not committed
+    whole are never read.
     """
     if store.path is None:
         raise ValueError("streams need a log at a path")
-    own = -((zlib.crc32(checkpoint.encode()) + 1) << 31)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        log = store.read()
-        plan_id = own - batch_id
-        if not log.where(F.col("plan_id") == plan_id).limit(1).count():
-            store.append(stamp(batch, log, plan_id))
+        state = store.state()
+        if state.streams.get(checkpoint, -1) < batch_id:
+            store.append(stamp(batch, state.clocks, state.plan_id + 1), checkpoint, batch_id)
 
     stream = spark.readStream.schema(INPUT).parquet(folder)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

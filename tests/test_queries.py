@@ -6,6 +6,7 @@ import re
 import duckdb
 import pytest
 
+from lorekeep import programs  # noqa: F401  registers its queries
 from lorekeep import queries as engine
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
