@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import fresh_path, shared_dir, staged
+from ..scratch import fresh_path, shared_dir, spread, staged
 
-__all__ = ["WORD", "distinct_sample", "fresh_name", "fresh_path", "null_safe_key", "refuse", "shared_dir", "skew_join", "staged", "table", "text_or_empty"]
+__all__ = ["WORD", "distinct_sample", "fresh_name", "fresh_path", "null_safe_key", "refuse", "shared_dir", "skew_join", "spread", "staged", "table", "text_or_empty"]
 
 #: ASCII white space; every operator of this subpackage splits words on it.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, fresh_path, refuse
+from .common import fresh_name, fresh_path, refuse, spread
 
 #: MAX_NODES: bytes of windows an automaton; ITEMS: items of one window that count together.
 WINDOW, MAX_NODES, ITEMS, CHUNK = 10, 3_000_000, 10_000, 32 << 20
@@ -184,7 +184,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ke
                 spans=[original_spans(t, h) if h.any() else [] for t, h in zip(texts, hits, strict=True)],
             )
 
-    found = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)], F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    wanted = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)], F.col("text").cast("string").alias("text"))
+    found = spread(wanted).mapInPandas(run, schema)
     return found.toDF(*keep, *RESULTS)
 
 
@@ -209,4 +210,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
                     yield found.iloc[at : at + len(b)]
                     at += len(b)
 
-    return docs.withColumn(name, is_hit(F.col("text").cast("string"))).where(~F.col(name)).drop(name)
+    return spread(docs).withColumn(name, is_hit(F.col("text").cast("string"))).where(~F.col(name)).drop(name)

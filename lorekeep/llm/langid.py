@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_sample, refuse
+from .common import distinct_sample, refuse, spread
 
 CELLS, ORDERS, MAX_ROWS, FULL_LANGS, SMOOTH, PIECE = 1 << 15, (1, 2, 3), 8000, 512, 0.5, 1 << 18
 _MULT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
@@ -137,5 +137,6 @@ def predict(docs: DataFrame, model: LangModel, *keep: str) -> DataFrame:
             langs, score = model.predict_batch(list(pdf.pop("text")))
             yield pdf.assign(lang_pred=langs, score=score)
 
-    found = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)], F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    wanted = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)], F.col("text").cast("string").alias("text"))
+    found = spread(wanted).mapInPandas(run, schema)
     return found.toDF(*keep, "lang_pred", "score")

@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, refuse, staged, text_or_empty
+from .common import fresh_name, refuse, spread, staged, text_or_empty
 
 SPACES = " \t\n\x0b\x0c\r"
 SAMPLE_FILES = 64
@@ -190,7 +190,7 @@ def quality_verdicts(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows
     """All columns of ``docs`` and ``column``: which rule of the cascade rejects the row first, or null."""
     refuse(docs.columns, column)
     ordered = [c.rule for c in estimate(docs, rules, sample_rows)]
-    return docs.withColumn(column, first_rejection(text_or_empty(F.col("text")), ordered))
+    return spread(docs).withColumn(column, first_rejection(text_or_empty(F.col("text")), ordered))
 
 
 def quality_filter(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000) -> DataFrame:
@@ -214,7 +214,7 @@ def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows:
         lines = let(_lines(t), lambda ls: F.struct(F.size(ls).cast("long").alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("dup")))
         return F.struct(*[getattr(m, n).alias(n) for n in names if n != "n_dup_lines"], lines.alias("lines"))
 
-    rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("t")).select("doc_id", "t", let(words(t), measured).alias("m"))
+    rows = spread(docs.select("doc_id", text_or_empty(F.col("text")).alias("t"))).select("doc_id", "t", let(words(t), measured).alias("m"))
     known = {n: F.col(f"m.{n}") for n in names if n != "n_dup_lines"} | {"n_dup_lines": F.col("m.lines.dup"), "n_lines": F.col("m.lines.n")}
     failed = (known["n_words"] < 10) | (100 * known["n_repeat_words"] > 20 * known["n_words"])
     kept = F.when(failed, F.lit(False)).otherwise(cascade(Measures(t, None, **known), ordered).isNull())

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import delete
-from .common import fresh_name, skew_join, staged
+from .common import fresh_name, skew_join, spread, staged
 
 SHINGLE, RADIUS, BLOCK, STRIP, PARTNERS, PAIRS = 4, 4, 64, 4096, 64, 1 << 20
 #: Up to so many rows of two or three numbers, one key may have all of them in a task; beyond, hot keys are split.
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
             yield pdf.assign(fp=fps.view(np.int64))
 
     cols = [F.col(c).cast("long").alias(c) for c in keep]
-    return docs.select(*cols, F.col("text").cast("string").alias("text")).mapInPandas(run, ", ".join([*(f"{c} long" for c in keep), "fp long"]))
+    return spread(docs.select(*cols, F.col("text").cast("string").alias("text"))).mapInPandas(run, ", ".join([*(f"{c} long" for c in keep), "fp long"]))
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:
