@@ -46,13 +46,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import delete
 from .common import skew_join, staged
 
-LENGTH, GRAM, HOT_GROUP, BUCKET_BYTES, BLOCK_BYTES, SAMPLE_BYTES = 100, 32, 20_000, 16 << 20, 8 << 20, 32 << 20
+LENGTH, GRAM, HOT_GROUP, BUCKET_BYTES, BLOCK_BYTES, SAMPLE_BYTES = 100, 32, 20_000, 8 << 20, 4 << 20, 32 << 20
+#: Buckets at least, suffixes that arrive together, rows of one Arrow batch.
+MIN_BUCKETS, BATCH, ROWS = 16, 1 << 16, 20_000
 _NULL_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
@@ -82,7 +85,7 @@ def _sliding(f, x: np.ndarray, w: int) -> np.ndarray:
     return f(x[: len(x) - (w - m)], x[w - m :]) if m < w else x
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, slab: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, slab: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, texts, hashes) of the anchors of texts that stand end to end in ``data``; found in slabs, which bounds memory."""
     w, places, hashes = length - GRAM + 1, [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for a in range(0, len(data), slab):
@@ -174,10 +177,11 @@ def _pack(bat, did, tie, suffix, local, pos, hot, again_local, again_pos) -> byt
     """Documents (batch, id, tie); suffixes in order with document, place and whether they are hot; places that a suffix of this array matches."""
     head = np.array([len(did), len(suffix), len(again_pos)], np.int64)
     parts = (bat.astype(np.int32), did.astype(np.int64), tie.astype(np.int64), suffix, local.astype(np.uint32), pos.astype(np.uint32), hot.astype(np.uint8), again_local.astype(np.uint32), again_pos.astype(np.uint32))
-    return head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in parts)
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in parts))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     m, n, d = np.frombuffer(blob, np.int64, 3).tolist()
     at, out = 24, []
     for kind, size in ((np.int32, m), (np.int64, m), (np.int64, m), (_KEY, n), (np.uint32, n), (np.uint32, n), (np.uint8, n), (np.uint32, d), (np.uint32, d)):
@@ -298,12 +302,18 @@ def _match_buckets(blobs: DataFrame, batch: int, keep_level: bool) -> DataFrame:
         parts = [_unpack(b) for b in pdf.blob]
         rank, bat, did, tie = _doc_ranks(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
         place_of = lambda doc, pos: (doc.astype(np.uint64) << np.uint64(_POS_BITS)) | pos.astype(np.uint64)
-        family, at, done = LogFamily(), 0, []
+        family, at, done, held, n_held = LogFamily(), 0, [], [], 0
         for b, _, _, suffix, local, pos, hot, again_local, again_pos in parts:
             mine = rank[at : at + len(b)]
             at += len(b)
-            family.add(suffix, place_of(mine[local], pos), hot)
+            held.append((suffix, place_of(mine[local], pos), hot))
             done.append(place_of(mine[again_local], again_pos))
+            n_held += len(suffix)
+            if n_held >= BATCH:
+                family.add(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, n_held = [], 0
+        if held:
+            family.add(*(np.concatenate(x) for x in zip(*held, strict=True)))
         suffix, place, hot = family.settle()
         # neighbours with a common prefix of GRAM bytes
         gram = np.ascontiguousarray(suffix).view(np.uint8).reshape(-1, GRAM + 8)[:, :GRAM]
@@ -348,7 +358,7 @@ def _fringe_contexts(texts: DataFrame, places: DataFrame, length: int, buckets:
                 raw = _raw(text)
                 for p in np.asarray(at).tolist():
                     rows.append((xxhash.xxh32_intdigest(raw[p : p + GRAM]) % buckets, n, d, t, p, min(p, reach), min(len(raw) - p, length), _context(raw, p, length)))
-                if len(rows) > 50_000:
+                if len(rows) > ROWS:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             if rows:
@@ -411,15 +421,31 @@ def _hot_spans(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """The same for hot groups: strings are grouped by their own hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, docs, starts = [], [], []
+
+        def gathered() -> pd.DataFrame:
+            of = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
+            bat, did, tie = (np.array(x, np.int64)[of] for x in zip(*docs, strict=True))
+            out = pd.DataFrame({"g": np.array(hashes, np.uint64).view(np.int64), "bat": bat.astype(np.int32), "did": did, "tie": tie, "start": np.concatenate(starts).astype(np.int32)})
+            hashes.clear(), docs.clear(), starts.clear()
+            return out
+
+        one = xxhash.xxh64_intdigest
         for pdf in batches:
             for n, d, t, text, at in zip(pdf.bat, pdf.did, pdf.tie, pdf.text, pdf["at"], strict=True):
-                raw, starts = _raw(text), set()
+                raw, own = _raw(text), set()
                 for p in np.asarray(at).tolist():
-                    starts.update(range(max(p - (length - GRAM), 0), min(p, len(raw) - length) + 1))
-                s = sorted(starts)
-                yield pd.DataFrame({"g": np.fromiter((xxhash.xxh64_intdigest(raw[i : i + length]) for i in s), np.uint64, len(s)).view(np.int64), "bat": n, "did": d, "tie": t, "start": np.array(s, np.int32)})
-
-    strings = _at_places(texts, places).mapInPandas(run, "g long, bat int, did long, tie long, start int")
+                    own.update(range(max(p - (length - GRAM), 0), min(p, len(raw) - length) + 1))
+                own = sorted(own)
+                hashes += [one(raw[i : i + length]) for i in own]
+                docs.append((n, d, t))
+                starts.append(np.array(own, np.int64))
+                if len(hashes) > ROWS:
+                    yield gathered()
+        if docs:
+            yield gathered()
+
+    strings = staged(_at_places(texts, places).mapInPandas(run, "g long, bat int, did long, tie long, start int"), "suffix-strings")
     at = F.struct("bat", "did", "tie", "start")
     first = strings.groupBy("g").agg(F.min(at).alias("f"), F.count("*").alias("n")).where("n > 1")
     # a string of a common line is in very many places: it is not put into one task
@@ -438,7 +464,7 @@ def _united(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _buckets(total: int) -> int:
-    return max(64, -(-total // BUCKET_BYTES))
+    return max(MIN_BUCKETS, -(-total // BUCKET_BYTES))
 
 
 def _spans(keyed: DataFrame, texts: DataFrame, blobs: DataFrame, batch: int, buckets: int, length: int, keep_level: bool) -> tuple[DataFrame, DataFrame]:

@@ -649,6 +649,7 @@ def test_suffix_dedup_on_data(spark, sf_dir):
 def test_suffix_dedup_random(spark, seed, monkeypatch):
     if seed == 2:
         monkeypatch.setattr(suffixes, "HOT_GROUP", 3)
+        monkeypatch.setattr(suffixes, "BATCH", 50)
     rng = random.Random(seed)
     parts = ["".join(rng.choice("abcd é\n") for _ in range(rng.randrange(20, 260))) for _ in range(30)]
     rows = [(i, "".join(rng.choice(parts) if rng.random() < 0.7 else rng_text(rng, 5) for _ in range(rng.randrange(0, 8)))) for i in range(120)]
