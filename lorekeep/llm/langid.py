@@ -30,12 +30,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_sample, refuse, spread
+from .common import distinct_sample, refuse, spread, staged
 
 CELLS, ORDERS, MAX_ROWS, FULL_LANGS, SMOOTH, PIECE = 1 << 15, (1, 2, 3), 8000, 512, 0.5, 1 << 18
 _MULT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
+def groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of texts of about ``most`` characters, or of one longer text."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t)
+    if texts:
+        yield begin, len(texts)
+
+
 def batch_cells(texts: list[str], cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, cell) of all grams of all texts, in arrays of bounded length in order of rows."""
     lowered = [t.lower() for t in texts]
@@ -69,12 +81,13 @@ class LangModel:
     def totals(self, texts: list[str]) -> np.ndarray:
         """Log-probability of every text (row) and language, texts as given."""
         total = np.tile(self.log_prior, (len(texts), 1))
-        for row, cell in batch_cells(texts, self.log_prob.shape[1]):
-            if not len(row):
-                continue
-            first = np.nonzero(np.concatenate(([True], row[1:] != row[:-1])))[0]
-            for j, log_prob in enumerate(self.log_prob):
-                total[row[first], j] += np.add.reduceat(log_prob[cell], first, dtype=np.float64)
+        for begin, end in groups(texts):
+            for row, cell in batch_cells(texts[begin:end], self.log_prob.shape[1]):
+                if not len(row):
+                    continue
+                first = np.nonzero(np.concatenate(([True], row[1:] != row[:-1])))[0]
+                for j, log_prob in enumerate(self.log_prob):
+                    total[begin + row[first], j] += np.add.reduceat(log_prob[cell], first, dtype=np.float64)
         return total
 
     def predict_batch(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -97,12 +110,14 @@ class LangModel:
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> LangModel:
     """A model from rows (text, lang) where both are given."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    sample = distinct_sample(rows, max_rows, 11)
+    sample = staged(distinct_sample(rows, max_rows, 11), "languages")
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         grams = np.zeros(CELLS, np.int64)
-        for _, cell in batch_cells(list(pdf.text)):
-            grams += np.bincount(cell, minlength=CELLS)
+        texts = list(pdf.text)
+        for begin, end in groups(texts):
+            for _, cell in batch_cells(texts[begin:end]):
+                grams += np.bincount(cell, minlength=CELLS)
         return pd.DataFrame({"lang": [key[0]], "docs": [len(pdf)], "grams": [grams.astype("<u4").tobytes()]})
 
     # the sample is bounded; 16 parts of a language keep one task from having a whole language

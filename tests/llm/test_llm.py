@@ -822,6 +822,7 @@ def test_language_scores_equal_brute_force(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     texts = [t for t, in rows_of(docs, "text")][:40] + ["", "a", "é", "12", None, "ÀÉ ßİ x", "a" * 700]
     model = langid.fit(docs)
+    assert list(langid.groups(["ab", "c", "", "defg", "h"], 3)) == [(0, 3), (3, 4), (4, 5)]
     for piece in (langid.PIECE, 100):  # texts in one piece and over many
         monkeypatch.setattr(langid, "PIECE", piece)
         langs, scores = model.predict_batch(texts)
