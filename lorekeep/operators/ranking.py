@@ -134,36 +134,53 @@ def rank(records: DataFrame, ids: Sequence[str], what: Ranking, votes: DataFrame
     return ranked.withColumn("pos", F.col("pos") - 1)
 
 
-#: Queries of a batch search that are broadcast at once.
-BATCH = 10_000
+#: Queries of a batch search that are broadcast at once, and records that meet them together.
+BATCH, RECORDS = 10_000, 1024
 
 
 def knn_batch(records: DataFrame, ids: Sequence[str], queries: DataFrame, k: int, query_id: str = "query_id", query: str = "query", embedding: str = "embedding") -> DataFrame:
     """(query_id, ids, score, rank) of the k nearest records for every row of a query set.
 
     A set of up to BATCH rows is broadcast; a larger one is walked in blocks of
-    about as many, by a hash of the id, each staged. A window on the map
-    side would keep all pairs; instead each query's best k are cut twice, within
-    hash parts of the records and then over the parts' winners.
+    about as many, by a hash of the id, each staged. Records meet a query in
+    blocks of about RECORDS, one row a block; each block keeps its best k, and of
+    those each query's best k are cut.
     """
     wanted = queries.select(query_id, query)
+    blocks = _record_blocks(records, ids, embedding)
     held = wanted.limit(BATCH + 1).collect()
     if len(held) <= BATCH:
-        return _knn_block(records, ids, held, wanted.schema, k, query_id, query, embedding)
-    wanted = staged(wanted, "knn-queries")
-    blocks = -(-wanted.count() // BATCH)
-    of = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    done = [staged(_knn_block(records, ids, wanted.where(of == i).collect(), wanted.schema, k, query_id, query, embedding), "knn-block") for i in range(blocks)]
+        return _knn_block(blocks, ids, held, wanted.schema, k, query_id, query)
+    wanted, blocks = staged(wanted, "knn-queries"), staged(blocks, "knn-records")
+    parts = -(-wanted.count() // BATCH)
+    of = F.pmod(F.xxhash64(query_id), F.lit(parts))
+    done = [staged(_knn_block(blocks, ids, wanted.where(of == i).collect(), wanted.schema, k, query_id, query), "knn-block") for i in range(parts)]
     return reduce(DataFrame.unionByName, done)
 
 
-def _knn_block(records: DataFrame, ids: Sequence[str], held: list, schema: StructType, k: int, query_id: str, query: str, embedding: str) -> DataFrame:
-    parts = records.withColumn("__part", F.pmod(F.xxhash64(*ids), F.lit(64)))
-    small = records.sparkSession.createDataFrame(held, schema)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    pairs = parts.select(*ids, "__part", F.col(embedding).alias("__e"), norm(F.col(embedding)).alias("__ne")).crossJoin(F.broadcast(small.withColumn("__nq", norm(F.col(query)))))
-    scored = pairs.select(query_id, *ids, "__part", F.when((F.col("__ne") > 0) & (F.col("__nq") > 0), dot(F.col("__e"), F.col(query)) / (F.col("__ne") * F.col("__nq"))).otherwise(F.lit(0.0)).alias("score"))
+def _record_blocks(records: DataFrame, ids: Sequence[str], embedding: str) -> DataFrame:
+    """One row a block: an array of (ids, vector of doubles, its norm)."""
+    e = F.transform(embedding, lambda x: x.cast("double"))
+    narrow = spread(records.select(*ids, e.alias("__e")))
+    norm = F.sqrt(F.aggregate("__e", F.lit(0.0), lambda s, x: s + x * x))
+    parts = max(-(-records.count() // RECORDS), 1)
+    block = F.pmod(F.xxhash64(*ids), F.lit(parts))
+    return narrow.groupBy(block.alias("__block")).agg(F.collect_list(F.struct(*ids, "__e", norm.alias("__n"))).alias("__held"))
+
+
+def _knn_block(blocks: DataFrame, ids: Sequence[str], held: list, schema: StructType, k: int, query_id: str, query: str) -> DataFrame:
+    small = blocks.sparkSession.createDataFrame(held, schema)
+    q = F.transform(query, lambda x: x.cast("double"))
+    small = small.select(query_id, q.alias("__q")).withColumn("__nq", F.sqrt(F.aggregate("__q", F.lit(0.0), lambda s, x: s + x * x)))
+
+    def scored(r: Column) -> Column:
+        dot = F.aggregate(F.zip_with(r["__e"], "__q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return F.when((r["__n"] > 0) & (F.col("__nq") > 0), dot / (r["__n"] * F.col("__nq"))).otherwise(F.lit(0.0))
+
+    # in order of score, then id; a score that is no number goes last
+    placed = F.transform("__held", lambda r: F.struct(scored(r).alias("score"), *[r[c].alias(c) for c in ids]))
+    keyed = F.transform(placed, lambda r: F.struct(F.isnan(r["score"]).alias("a"), (-F.nanvl(r["score"], F.lit(0.0))).alias("b"), *[r[c].alias(c) for c in ids], r["score"].alias("score")))
+    met = blocks.crossJoin(F.broadcast(small)).select(query_id, F.explode(F.slice(F.array_sort(keyed), 1, k)).alias("__r"))
+    met = met.select(query_id, *[F.col(f"__r.{c}").alias(c) for c in ids], F.col("__r.score").alias("score"))
     best = [descending(F.col("score")), *[F.col(c).asc() for c in ids]]
-    first = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id, "__part").orderBy(*best))).where(F.col("rank") <= k)
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*best))).where(F.col("rank") <= k).drop("__part")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*best))).where(F.col("rank") <= k)
