@@ -62,7 +62,7 @@ def spread(df: DataFrame) -> DataFrame:
     Tables of more files or bytes, and rows that come from elsewhere, stay where they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if not 0 < len(df.inputFiles()) < cores or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SPREAD_BYTES:
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SPREAD_BYTES or not 0 < len(df.inputFiles()) < cores:
         return df
     return df.repartition(cores)
 
