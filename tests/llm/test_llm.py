@@ -449,6 +449,32 @@ def test_sharding(spark, sf_dir):
     assert max(loads.values()) - min(loads.values()) <= max(r["size"] for r in rows)
 
 
+def test_sharding_equals_brute_force(spark):
+    """Slots by hash, bytes by slot, largest slot to lightest shard, places by slot and id: all by hand."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(-50, 10**9), "x" * rng.randrange(1, 60) + "é") for _ in range(500)]
+    n, slots = 24, 8192
+
+    def slot_of(d, text):
+        h = xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(zlib.crc32(text.encode()).to_bytes(8, "little"), h)
+        return (h - (1 << 64 if h >> 63 else 0)) % slots
+
+    sizes = Counter()
+    for d, t in rows:
+        sizes[slot_of(d, t)] += len(t.encode()) + 8
+    load, shard_of = [0] * n, {}
+    for s, b in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        shard_of[s] = load.index(min(load))
+        load[shard_of[s]] += b
+    want, taken = {}, Counter()
+    for s, d, t in sorted((slot_of(d, t), d, t) for d, t in rows):
+        want[d] = (len(t.encode()) + 8, zlib.crc32(t.encode()), "bytes", shard_of[s], taken[shard_of[s]], None, s)
+        taken[shard_of[s]] += 1
+    got = sharding.shard_placement(spark.createDataFrame(rows, "doc_id long, text string"), n).collect()
+    assert {r["doc_id"]: tuple(r[c] for c in ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "vslot")) for r in got} == want
+
+
 def test_sharding_hot_and_hard_rows(spark):
     docs = hard_docs(spark)
     check_placement(sharding.shard_placement(docs, 4).collect(), 4)
