@@ -74,12 +74,6 @@ def edges(log: DataFrame, memory: str = ROOT, as_of: int | None = None) -> DataF
     return made
 
 
-def dims(log: DataFrame, memory: str = ROOT, as_of: int | None = None) -> DataFrame:
-    """(tbl, dim) of the tables whose last declaration has a vector length."""
-    made = _until(log, memory, as_of).where(F.col("op") == "create").groupBy("tbl").agg(F.max_by("dim", "ts").alias("dim"))
-    return made.where("dim is not null")
-
-
 @dataclass
 class State:
     """What a commit leaves: the last time of every memory, the last plan, vector lengths, and the last batch of every stream."""
