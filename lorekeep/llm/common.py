@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import fresh_path, shared_dir, spread, staged
 
-__all__ = ["WORD", "distinct_sample", "fresh_name", "fresh_path", "null_safe_key", "refuse", "shared_dir", "skew_join", "spread", "staged", "table", "text_or_empty"]
-
-#: ASCII white space; every operator of this subpackage splits words on it.
-WORD = r"[^\x20\x09-\x0D]+"
+__all__ = ["distinct_sample", "fresh_name", "fresh_path", "null_safe_key", "refuse", "shared_dir", "skew_join", "spread", "staged", "table", "text_or_empty"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
