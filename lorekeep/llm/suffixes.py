@@ -176,7 +176,8 @@ def _doc_ranks(bat: np.ndarray, did: np.ndarray, tie: np.ndarray) -> tuple[np.nd
 def _pack(bat, did, tie, suffix, local, pos, hot, again_local, again_pos) -> bytes:
     """Documents (batch, id, tie); suffixes in order with document, place and whether they are hot; places that a suffix of this array matches."""
     head = np.array([len(did), len(suffix), len(again_pos)], np.int64)
-    parts = (bat.astype(np.int32), did.astype(np.int64), tie.astype(np.int64), suffix, local.astype(np.uint32), pos.astype(np.uint32), hot.astype(np.uint8), again_local.astype(np.uint32), again_pos.astype(np.uint32))
+    key = np.ascontiguousarray(suffix).view(np.uint8).reshape(-1, GRAM + 8)  # text and hashes pack better apart
+    parts = (bat.astype(np.int32), did.astype(np.int64), tie.astype(np.int64), key[:, :GRAM], key[:, GRAM:], local.astype(np.uint32), pos.astype(np.uint32), hot.astype(np.uint8), again_local.astype(np.uint32), again_pos.astype(np.uint32))
     return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in parts))
 
 
@@ -184,11 +185,12 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     blob = zstandard.ZstdDecompressor().decompress(blob)
     m, n, d = np.frombuffer(blob, np.int64, 3).tolist()
     at, out = 24, []
-    for kind, size in ((np.int32, m), (np.int64, m), (np.int64, m), (_KEY, n), (np.uint32, n), (np.uint32, n), (np.uint8, n), (np.uint32, d), (np.uint32, d)):
+    for kind, size in ((np.int32, m), (np.int64, m), (np.int64, m), (np.uint8, n * GRAM), (np.uint8, n * 8), (np.uint32, n), (np.uint32, n), (np.uint8, n), (np.uint32, d), (np.uint32, d)):
         got = np.frombuffer(blob, kind, size, at)
         at += got.nbytes
         out.append(got)
-    return out
+    key = np.concatenate((out[3].reshape(-1, GRAM), out[4].reshape(-1, 8)), axis=1).reshape(-1).view(_KEY)
+    return [*out[:3], key, *out[5:]]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -341,30 +343,37 @@ def _match_buckets(blobs: DataFrame, batch: int, keep_level: bool) -> DataFrame:
     return blobs.groupBy("bucket").applyInPandas(run, FOUND)
 
 
-def _at_places(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """bat, did, tie, text, at: the texts that have places, once each."""
-    lists = places.groupBy("bat", "did", "tie").agg(F.collect_set("pos").alias("at"))
-    return texts.join(lists, ["bat", "did", "tie"]).select("bat", "did", "tie", "text", "at")
-
+def _fetched(texts: DataFrame, places: DataFrame, length: int, buckets: int) -> DataFrame:
+    """What is compared further, staged, from one pass over the texts that have places.
 
-def _fringe_contexts(texts: DataFrame, places: DataFrame, length: int, buckets: int) -> DataFrame:
-    reach = length - GRAM
-    names = ["bucket", "bat", "did", "tie", "pos", "back", "ahead", "ctx"]
+    Kind 1: a place with its context, by a bucket of its 32 bytes. Kind 2: a
+    string of a hot group (it starts at ``pos``), by its hash ``g``.
+    """
+    reach, one = length - GRAM, xxhash.xxh64_intdigest
+    columns = {"kind": "tinyint", "bucket": "int", "g": "long", "bat": "int", "did": "long", "tie": "long", "pos": "int", "back": "int", "ahead": "int", "ctx": "binary"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for pdf in batches:
-            rows = []
-            for n, d, t, text, at in zip(pdf.bat, pdf.did, pdf.tie, pdf.text, pdf["at"], strict=True):
-                raw = _raw(text)
+            for n, d, t, text, at, hot in zip(pdf.bat, pdf.did, pdf.tie, pdf.text, pdf["at"], pdf.hot, strict=True):
+                raw, starts = _raw(text), set()
                 for p in np.asarray(at).tolist():
-                    rows.append((xxhash.xxh32_intdigest(raw[p : p + GRAM]) % buckets, n, d, t, p, min(p, reach), min(len(raw) - p, length), _context(raw, p, length)))
+                    rows.append((1, xxhash.xxh32_intdigest(raw[p : p + GRAM]) % buckets, 0, n, d, t, p, min(p, reach), min(len(raw) - p, length), _context(raw, p, length)))
+                for p in np.asarray(hot).tolist():
+                    starts.update(range(max(p - reach, 0), min(p, len(raw) - length) + 1))
+                for i in sorted(starts):
+                    h = one(raw[i : i + length])
+                    rows.append((2, 0, h - (1 << 64 if h >> 63 else 0), n, d, t, i, 0, 0, None))
                 if len(rows) > ROWS:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield pd.DataFrame(rows, columns=list(columns))
                     rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
+        if rows:
+            yield pd.DataFrame(rows, columns=list(columns))
 
-    return _at_places(texts, places).mapInPandas(run, "bucket int, bat int, did long, tie long, pos int, back int, ahead int, ctx binary")
+    at = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("pos")))
+    lists = places.where("kind in (1, 2)").groupBy("bat", "did", "tie").agg(at(1).alias("at"), at(2).alias("hot"))
+    wanted = texts.join(lists, ["bat", "did", "tie"]).select("bat", "did", "tie", "text", "at", "hot")
+    return staged(wanted.mapInPandas(run, ", ".join(f"{c} {k}" for c, k in columns.items())), "suffix-fetched")
 
 
 def equal_strings(before: np.ndarray, after: np.ndarray, back: np.ndarray, ahead: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -417,40 +426,13 @@ def _fringe_spans(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.groupBy("bucket").applyInPandas(run, "bat int, did long, tie long, start int, stop int")
 
 
-def _hot_spans(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """The same for hot groups: strings are grouped by their own hashes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, docs, starts = [], [], []
-
-        def gathered() -> pd.DataFrame:
-            of = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
-            bat, did, tie = (np.array(x, np.int64)[of] for x in zip(*docs, strict=True))
-            out = pd.DataFrame({"g": np.array(hashes, np.uint64).view(np.int64), "bat": bat.astype(np.int32), "did": did, "tie": tie, "start": np.concatenate(starts).astype(np.int32)})
-            hashes.clear(), docs.clear(), starts.clear()
-            return out
-
-        one = xxhash.xxh64_intdigest
-        for pdf in batches:
-            for n, d, t, text, at in zip(pdf.bat, pdf.did, pdf.tie, pdf.text, pdf["at"], strict=True):
-                raw, own = _raw(text), set()
-                for p in np.asarray(at).tolist():
-                    own.update(range(max(p - (length - GRAM), 0), min(p, len(raw) - length) + 1))
-                own = sorted(own)
-                hashes += [one(raw[i : i + length]) for i in own]
-                docs.append((n, d, t))
-                starts.append(np.array(own, np.int64))
-                if len(hashes) > ROWS:
-                    yield gathered()
-        if docs:
-            yield gathered()
-
-    strings = staged(_at_places(texts, places).mapInPandas(run, "g long, bat int, did long, tie long, start int"), "suffix-strings")
-    at = F.struct("bat", "did", "tie", "start")
+def _hot_spans(strings: DataFrame, length: int) -> DataFrame:
+    """The same for hot groups: strings (g, bat, did, tie, pos) are grouped by their own hashes."""
+    at = F.struct("bat", "did", "tie", "pos")
     first = strings.groupBy("g").agg(F.min(at).alias("f"), F.count("*").alias("n")).where("n > 1")
     # a string of a common line is in very many places: it is not put into one task
     later = skew_join(strings, first, "g", "n", 100_000).where(at != F.col("f"))
-    return later.select("bat", "did", "tie", "start", (F.col("start") + length).alias("stop"))
+    return later.select("bat", "did", "tie", F.col("pos").alias("start"), (F.col("pos") + length).alias("stop"))
 
 
 def _united(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -470,9 +452,11 @@ def _buckets(total: int) -> int:
 def _spans(keyed: DataFrame, texts: DataFrame, blobs: DataFrame, batch: int, buckets: int, length: int, keep_level: bool) -> tuple[DataFrame, DataFrame]:
     """(rows of ``keyed`` with at, starts and stops; what was found)."""
     found = staged(_match_buckets(blobs, batch, keep_level), "suffix-matches")
-    fringes = _fringe_spans(_fringe_contexts(texts, found.where("kind = 1"), length, buckets), length)
-    if found.where("kind = 2").limit(1).count():
-        fringes = fringes.unionByName(_hot_spans(texts, found.where("kind = 2"), length))
+    fetched = _fetched(texts, found, length, buckets)
+    fringes = _fringe_spans(fetched.where("kind = 1"), length)
+    hot = fetched.where("kind = 2").select("g", "bat", "did", "tie", "pos")
+    if hot.limit(1).count():
+        fringes = fringes.unionByName(_hot_spans(hot, length))
     at = found.where("kind = 0").groupBy("did", "tie").agg(F.collect_list("pos").alias("at"))
     spans = fringes.where(F.col("bat") == batch).groupBy("did", "tie").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     return keyed.join(at, ["did", "tie"], "left").join(spans, ["did", "tie"], "left"), found
