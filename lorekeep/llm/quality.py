@@ -144,6 +144,7 @@ def _sampled_files(docs: DataFrame) -> DataFrame:
     if len(files) <= SAMPLE_FILES:
         return docs
     chosen = sorted(files, key=lambda f: zlib.crc32(f.encode()))[:SAMPLE_FILES]
+    chosen += [f.replace("file:///", "file:/", 1) for f in chosen if f.startswith("file:///")]  # a row's own path has one slash
     try:
         some = docs.where(F.col("_metadata.file_path").isin(chosen))
         return some if some.limit(1).count() else docs
