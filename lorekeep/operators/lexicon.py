@@ -1,4 +1,4 @@
-"""Stored token counts: a text column is cut into tokens once, and every BM25 query reads its terms alone."""
+"""Stored token counts: the terms of a query are counted once in a text column, and every later BM25 query of them reads the counts alone."""
 
 from __future__ import annotations
 
@@ -7,35 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CorpusStats, tokenize
+from ..functions.text import CorpusStats, corpus_stats, with_counts
 from ..scratch import spread, staged
 
 
 class Lexicon:
-    """Two tables: ``lengths`` (ids, n tokens; null for null text) and ``terms`` (token, ids, tf), sorted by token.
+    """A table of ids, n tokens and the counts of some terms (both null for null text) for each set of terms asked for so far.
 
-    Ids must be unique. A frequent token's rows lie in many files, as the sort
-    goes by token and id; a query's filter on tokens reaches the scan.
+    A set is counted in one pass over the texts, a row a record: no row a token
+    is made, shuffled or sorted, so a first query takes the time of its scan. A
+    set within one counted before reads that. Ids must be unique.
     """
 
     def __init__(self, df: DataFrame, ids: Sequence[str], text: str):
-        self.ids, self.text = list(ids), text
-        cut = staged(spread(df.select(*ids, F.col(text).alias("__t"))).select(*ids, tokenize(F.col("__t")).alias("__w")), "tokens")
-        self.lengths = staged(cut.select(*ids, F.when(F.col("__w").isNotNull(), F.size("__w")).alias("__dl")), "lengths")
-        counts = cut.select(*ids, F.explode("__w").alias("__token")).groupBy(*ids, "__token").agg(F.count("*").cast("int").alias("__f"))
-        self.terms = staged(counts.repartitionByRange("__token", *ids).sortWithinPartitions("__token"), "terms")
-        total = self.lengths.agg(F.count("__dl").alias("n"), F.coalesce(F.sum("__dl"), F.lit(0)).alias("t")).first()
-        self.n_docs, self.total = total["n"], total["t"]
+        self.df, self.ids, self.text = df, list(ids), text
+        self._held: list[tuple[list[str], DataFrame, CorpusStats]] = []
+
+    def _table(self, terms: Sequence[str]) -> tuple[list[str], DataFrame, CorpusStats]:
+        for held in self._held:
+            if set(terms) <= set(held[0]):
+                return held
+        texts = spread(self.df.select(*self.ids, F.col(self.text).alias("__t")))
+        counted = staged(with_counts(texts, "__t", terms).drop("__t"), "counts")
+        self._held.append((list(terms), counted, corpus_stats(counted, len(terms))))
+        return self._held[-1]
 
     def counts(self, terms: Sequence[str]) -> DataFrame:
         """ids, __dl and __tf (the count of every term) of all records."""
-        if not terms:
-            return self.lengths.withColumn("__tf", F.array().cast("array<int>"))
-        rows = self.terms.where(F.col("__token").isin(list(terms)))
-        found = rows.groupBy(*self.ids).agg(*[F.max(F.when(F.col("__token") == t, F.col("__f"))).alias(f"__f{i}") for i, t in enumerate(terms)])
-        tf = F.array(*[F.coalesce(f"__f{i}", F.lit(0)) for i in range(len(terms))]).cast("array<int>")
-        return self.lengths.join(found, self.ids, "left").select(*self.ids, "__dl", tf.alias("__tf"))
+        held, counted, _ = self._table(terms)
+        tf = F.array(*[F.get(F.col("__tf"), F.lit(held.index(t))) for t in terms]).cast("array<int>")
+        return counted.select(*self.ids, "__dl", tf.alias("__tf"))
 
     def stats(self, terms: Sequence[str]) -> CorpusStats:
-        held = {r["__token"]: r["n"] for r in self.terms.where(F.col("__token").isin(list(terms))).groupBy("__token").agg(F.count("*").alias("n")).collect()} if terms else {}
-        return CorpusStats(self.n_docs, self.total, tuple(held.get(t, 0) for t in terms))
+        held, _, stats = self._table(terms)
+        return CorpusStats(stats.n_docs, stats.total, tuple(stats.df[held.index(t)] for t in terms))

@@ -129,6 +129,18 @@ def test_stored_counts_give_the_same_scores(spark):
     assert source.select(Select("t", lexical=Lexical("text", "sedge", 5))).count() == 5
 
 
+def test_counting_terms_makes_a_row_a_record(spark, monkeypatch):
+    import lorekeep.operators.lexicon as lexicon
+
+    made, stage = [], lexicon.staged
+    monkeypatch.setattr(lexicon, "staged", lambda df, name: made.append(stage(df, name)) or made[-1])
+    words = [f"w{i}" for i in range(50)]
+    df = spark.createDataFrame([(i, " ".join(words[: 10 + i])) for i in range(40)], "id long, text string")
+    counts = Lexicon(df, ["id"], "text")
+    all_of = lambda text: rank(df, ["id"], Ranking(lexical=Lexical("text", text)), lexicon=counts).count()
+    assert all_of("w1 w30") == 40 and sum(t.count() for t in made) == 40
+
+
 def test_hybrid_tie_and_recency(session):
     session.run("INSERT INTO doc:lex {t: 'kelp kelp kelp'} INSERT INTO doc:both {t: 'kelp kelp'} EMBED [1,0]")
     assert ids(ask(session, "SELECT * FROM doc WHERE ::bm25(t,'kelp') AND vector::similarity(embedding,[1,0]) AND k=2")) == ["both", "lex"]
