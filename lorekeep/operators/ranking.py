@@ -8,13 +8,14 @@ applied after ordering.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import bm25, corpus_stats, query_terms, with_counts
@@ -22,6 +23,7 @@ from ..functions.vectors import cosine
 from ..scratch import spread, staged
 from . import ranks
 from .lexicon import Lexicon
+from .nearest import nearest
 
 RRF = 60
 ORDERS = ("similarity", "salience", "score", "votes", "feedback", "recency")
@@ -134,53 +136,47 @@ def rank(records: DataFrame, ids: Sequence[str], what: Ranking, votes: DataFrame
     return ranked.withColumn("pos", F.col("pos") - 1)
 
 
-#: Queries of a batch search that are broadcast at once, and records that meet them together.
-BATCH, RECORDS = 10_000, 1024
+#: Queries of a batch search that go to every task at once, and results that a task holds for them.
+BATCH, CELLS = 10_000, 1 << 24
+#: Records that are worth a task.
+RECORDS = 1024
 
 
 def knn_batch(records: DataFrame, ids: Sequence[str], queries: DataFrame, k: int, query_id: str = "query_id", query: str = "query", embedding: str = "embedding") -> DataFrame:
     """(query_id, ids, score, rank) of the k nearest records for every row of a query set.
 
-    A set of up to BATCH rows is broadcast; a larger one is walked in blocks of
-    about as many, by a hash of the id, each staged. Records meet a query in
-    blocks of about RECORDS, one row a block; each block keeps its best k, and of
-    those each query's best k are cut.
+    A set of up to BATCH rows goes to every task; a larger one is walked in
+    blocks of about as many, by a hash of the id, each staged. Records are dealt
+    over all cores; a task reads its records as a stream and keeps the k best of
+    each query, and of those each query's best k are cut.
     """
-    wanted = queries.select(query_id, query)
-    blocks = _record_blocks(records, ids, embedding)
-    held = wanted.limit(BATCH + 1).collect()
-    if len(held) <= BATCH:
-        return _knn_block(blocks, ids, held, wanted.schema, k, query_id, query)
-    wanted, blocks = staged(wanted, "knn-queries"), staged(blocks, "knn-records")
-    parts = -(-wanted.count() // BATCH)
+    size = max(min(BATCH, CELLS // max(k, 1)), 1)
+    wanted, narrow = queries.select(query_id, _whole(query).alias(query)), records.select(*ids, _whole(embedding).alias("__e"))
+    held = wanted.limit(size + 1).toArrow()
+    if len(held) <= size:
+        return _knn_block(narrow, ids, held, wanted.schema, k, query_id)
+    wanted, narrow = staged(wanted, "knn-queries"), staged(narrow, "knn-records")
+    parts = -(-wanted.count() // size)
     of = F.pmod(F.xxhash64(query_id), F.lit(parts))
-    done = [staged(_knn_block(blocks, ids, wanted.where(of == i).collect(), wanted.schema, k, query_id, query), "knn-block") for i in range(parts)]
+    done = [staged(_knn_block(narrow, ids, wanted.where(of == i).toArrow(), wanted.schema, k, query_id), "knn-block") for i in range(parts)]
     return reduce(DataFrame.unionByName, done)
 
 
-def _record_blocks(records: DataFrame, ids: Sequence[str], embedding: str) -> DataFrame:
-    """One row a block: an array of (ids, vector of doubles, its norm)."""
-    e = F.transform(embedding, lambda x: x.cast("double"))
-    narrow = spread(records.select(*ids, e.alias("__e")))
-    norm = F.sqrt(F.aggregate("__e", F.lit(0.0), lambda s, x: s + x * x))
-    parts = max(-(-records.count() // RECORDS), 1)
-    block = F.pmod(F.xxhash64(*ids), F.lit(parts))
-    return narrow.groupBy(block.alias("__block")).agg(F.collect_list(F.struct(*ids, "__e", norm.alias("__n"))).alias("__held"))
+def _whole(vector: str) -> Column:
+    """A vector of doubles; null if a component is missing."""
+    return F.when(~F.exists(vector, lambda x: x.isNull()), F.col(vector).cast("array<double>"))
 
 
-def _knn_block(blocks: DataFrame, ids: Sequence[str], held: list, schema: StructType, k: int, query_id: str, query: str) -> DataFrame:
-    small = blocks.sparkSession.createDataFrame(held, schema)
-    q = F.transform(query, lambda x: x.cast("double"))
-    small = small.select(query_id, q.alias("__q")).withColumn("__nq", F.sqrt(F.aggregate("__q", F.lit(0.0), lambda s, x: s + x * x)))
+def _knn_block(narrow: DataFrame, ids: Sequence[str], held: pa.Table, wanted: StructType, k: int, query_id: str) -> DataFrame:
+    cores = narrow.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(-(-narrow.count() // RECORDS), 4 * cores), 1)
+    dealt = narrow.repartition(parts, *ids).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in ids])
+    schema = StructType([wanted[query_id], *[narrow.schema[c] for c in ids], StructField("score", DoubleType())])
 
-    def scored(r: Column) -> Column:
-        dot = F.aggregate(F.zip_with(r["__e"], "__q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        return F.when((r["__n"] > 0) & (F.col("__nq") > 0), dot / (r["__n"] * F.col("__nq"))).otherwise(F.lit(0.0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in nearest(batches, held, k) if k > 0 else ():
+            yield pa.RecordBatch.from_arrays(out.columns, names=schema.names)
 
-    # in order of score, then id; a score that is no number goes last
-    placed = F.transform("__held", lambda r: F.struct(scored(r).alias("score"), *[r[c].alias(c) for c in ids]))
-    keyed = F.transform(placed, lambda r: F.struct(F.isnan(r["score"]).alias("a"), (-F.nanvl(r["score"], F.lit(0.0))).alias("b"), *[r[c].alias(c) for c in ids], r["score"].alias("score")))
-    met = blocks.crossJoin(F.broadcast(small)).select(query_id, F.explode(F.slice(F.array_sort(keyed), 1, k)).alias("__r"))
-    met = met.select(query_id, *[F.col(f"__r.{c}").alias(c) for c in ids], F.col("__r.score").alias("score"))
-    best = [descending(F.col("score")), *[F.col(c).asc() for c in ids]]
+    met = dealt.mapInArrow(run, schema)
+    best = [descending(F.col("score")), *[F.col(c).asc_nulls_first() for c in ids]]
     return met.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*best))).where(F.col("rank") <= k)

@@ -391,6 +391,50 @@ def test_batch_search_walks_large_query_sets_in_blocks(spark):
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == [(i, 0 if i % 2 else 2, 1) for i, _ in at]
 
 
+def brute_batch(records, queries, k):
+    """(query_id, id, score, rank) by sums in order over the shorter length."""
+    def add(xs):  # sum() carries what it rounds off
+        total = 0.0
+        for x in xs:
+            total += x
+        return total
+
+    def score(a, b):
+        if a is None or b is None or None in a or None in b:
+            return 0.0
+        a, b = a[: len(b)], b[: len(a)]
+        x, y = (math.sqrt(add(v * v for v in w)) for w in (a, b))
+        return add(v * w for v, w in zip(a, b, strict=True)) / (x * y) if x and y else 0.0
+
+    out = []
+    for q, b in queries:
+        best = sorted(((score(a, b), i) for i, a in records), key=lambda r: (math.isnan(r[0]), 0 if math.isnan(r[0]) else -r[0], r[1]))[:k]
+        out += [(q, i, repr(s), n) for n, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def test_batch_search_of_odd_vectors(spark):
+    """Copies, multiples, zeros, missing and short vectors, numbers that are none, and norms that a product does not hold."""
+    rng = random.Random(5)
+    some = [[rng.gauss(0, 1) for _ in range(7)] for _ in range(40)]
+    odd = [None, [], [0.0] * 7, [1.0, None] + [0.0] * 5, [float("nan")] * 7, [float("inf")] + [1.0] * 6]
+    records = [(f"r{i:05}", some[i % 40] if i % 3 else [2 * x for x in some[i % 40]]) for i in range(3000)]
+    records += [(f"s{i:05}", v) for i, v in enumerate(odd + [x[:4] for x in some])]
+    huge = [(f"t{i}", [x * 1e-140 for x in v]) for i, v in enumerate(some)]
+    queries = [(i, v) for i, v in enumerate(some[:20] + odd[:5] + [some[3][:3]])]
+    for held in (records, records + huge, [(f"u{i}", v) for i, v in enumerate(odd)]):
+        for k in (1, 30, 120):
+            got = knn_batch(spark.createDataFrame(held, "id string, embedding array<double>"), ["id"], spark.createDataFrame(queries, "query_id long, query array<double>"), k)
+            assert sorted((r["query_id"], r["id"], repr(r["score"]), r["rank"]) for r in got.collect()) == brute_batch(held, queries, k)
+    assert knn_batch(spark.createDataFrame(records, "id string, embedding array<double>"), ["id"], spark.createDataFrame(queries, "query_id long, query array<double>"), 0).count() == 0
+
+
+def test_batch_search_makes_no_row_a_pair(spark, sf_dir):
+    from lorekeep.queries import knn_batch_hundredths
+
+    assert "Join" not in knn_batch_hundredths(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nan_scores_go_last(spark):
     df = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.0])], "id long, embedding array<float>")
     got = rank(df, ["id"], Ranking(Knn((1.0, 0.0), 3))).collect()
