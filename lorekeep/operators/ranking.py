@@ -78,9 +78,8 @@ def rank(records: DataFrame, ids: Sequence[str], what: Ranking, votes: DataFrame
     kept = records.columns
     df, by_id = records, [F.col(c).asc_nulls_first() for c in ids]
     sim = cosine(F.col(embedding), what.knn.query, single) if what.knn else None
-    stats = None
-    if what.lexical:
-        terms = query_terms(what.lexical.query)
+    lexical = F.lit(0.0)  # without terms, whatever the texts are
+    if what.lexical and (terms := query_terms(what.lexical.query)):
         if lexicon is not None:
             df, stats = df.join(lexicon.counts(terms), list(ids), "left"), lexicon.stats(terms)
         else:
@@ -88,6 +87,7 @@ def rank(records: DataFrame, ids: Sequence[str], what: Ranking, votes: DataFrame
             df = with_counts(spread(df).withColumn("__text", F.col(what.lexical.field) if text is None else text), "__text", terms).drop("__text")
             df = staged(df, "counts")
             stats = corpus_stats(df, len(terms))
+        lexical = bm25(stats)
     if what.needs_votes:
         if votes is None:
             score_votes = {"laplace": F.lit(0.5), "net": F.lit(0), "feedback": F.lit(0.0)}
@@ -96,7 +96,7 @@ def rank(records: DataFrame, ids: Sequence[str], what: Ranking, votes: DataFrame
             score_votes = {"laplace": F.coalesce("laplace", F.lit(0.5)), "net": F.coalesce("net", F.lit(0)), "feedback": F.coalesce("feedback", F.lit(0.0))}
     full = None
     if what.lexical and what.knn:
-        df = df.withColumns({"__lex": bm25(stats), "__sim": sim}).drop("__dl", "__tf")
+        df = df.withColumns({"__lex": lexical, "__sim": sim}).drop("__dl", "__tf")
         if (n := df.count()) > ranks.SMALL:  # ranks are taken of ids and scores; the rows come back to those that stay
             full = staged(df.withColumn("__row", F.monotonically_increasing_id()), "hybrid")
             order_by = [created_at] if what.order == "recency" else []
@@ -105,7 +105,7 @@ def rank(records: DataFrame, ids: Sequence[str], what: Ranking, votes: DataFrame
         df = ranks.global_rank(df, [descending(F.col("__sim")), *by_id], "__rv", n)
         score = F.lit(1.0) / (F.lit(float(RRF)) + F.col("__rl")) + F.lit(1.0) / (F.lit(float(RRF)) + F.col("__rv"))
     elif what.lexical:
-        score = bm25(stats)
+        score = lexical
     elif what.order == "salience":
         laplace = F.least(F.greatest(score_votes["laplace"], F.lit(0.0)), F.lit(1.0))
         score = F.lit(0.7) * sim + F.lit(0.3) * laplace if what.knn else laplace

@@ -141,6 +141,15 @@ def test_counting_terms_makes_a_row_a_record(spark, monkeypatch):
     assert all_of("w1 w30") == 40 and sum(t.count() for t in made) == 40
 
 
+def test_a_query_without_terms_reads_no_text(spark):
+    df = spark.range(30).selectExpr("id", "cast(raise_error('text read') as string) AS text", "array(cast(id AS double), 1D) AS embedding", "id AS created_at")
+    for counts in (None, Lexicon(df, ["id"], "text")):
+        got = rank(df.select("id", "text"), ["id"], Ranking(lexical=Lexical("text", " ... ", 10)), lexicon=counts).select("id", "score").collect()
+        assert [(r["id"], r["score"]) for r in got] == [(i, 0.0) for i in range(10)]
+        got = rank(df, ["id"], Ranking(Knn((1.0, 0.0), 5), Lexical("text", "")), lexicon=counts).select("id").collect()
+        assert [r["id"] for r in got] == [0, 29, 1, 28, 2]  # places by id and by nearness, fused
+
+
 def test_hybrid_tie_and_recency(session):
     session.run("INSERT INTO doc:lex {t: 'kelp kelp kelp'} INSERT INTO doc:both {t: 'kelp kelp'} EMBED [1,0]")
     assert ids(ask(session, "SELECT * FROM doc WHERE ::bm25(t,'kelp') AND vector::similarity(embedding,[1,0]) AND k=2")) == ["both", "lex"]
