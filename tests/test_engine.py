@@ -141,6 +141,25 @@ def test_counting_terms_makes_a_row_a_record(spark, monkeypatch):
     assert all_of("w1 w30") == 40 and sum(t.count() for t in made) == 40
 
 
+def test_recall_of_bm25_counts_texts_once(spark, sf_dir, monkeypatch):
+    import lorekeep.operators.lexicon as lexicon
+    from lorekeep import queries
+
+    made, stage = [], lexicon.staged
+    monkeypatch.setattr(lexicon, "staged", lambda df, name: made.append(stage(df, name)) or made[-1])
+    monkeypatch.setattr(queries, "_lexicons", {})
+    first = [tuple(r) for r in queries.recall_precision_bm25(spark, sf_dir).collect()]
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert sum(t.count() for t in made) == n
+    again = [tuple(r) for r in queries.recall_precision_bm25(spark, sf_dir).collect()]
+    assert first == again and len(made) == 1
+    # some of the terms, in another order, are read from the same counts
+    docs, counts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), queries.lexicon(spark, sf_dir)
+    what = Ranking(lexical=Lexical("text", "of the", 30))
+    got = [[(r["doc_id"], r["score"]) for r in rank(docs, ["doc_id"], what, lexicon=x).collect()] for x in (counts, None)]
+    assert got[0] == got[1] and len(made) == 1
+
+
 def test_a_query_without_terms_reads_no_text(spark):
     df = spark.range(30).selectExpr("id", "cast(raise_error('text read') as string) AS text", "array(cast(id AS double), 1D) AS embedding", "id AS created_at")
     for counts in (None, Lexicon(df, ["id"], "text")):
