@@ -27,7 +27,7 @@ class Lexicon:
         for held in self._held:
             if set(terms) <= set(held[0]):
                 return held
-        texts = spread(self.df.select(*self.ids, F.col(self.text).alias("__t")))
+        texts = spread(self.df.select(*self.ids, F.col(self.text).alias("__t")), self.ids)
         counted = staged(with_counts(texts, "__t", terms).drop("__t"), "counts")
         self._held.append((list(terms), counted, corpus_stats(counted, len(terms))))
         return self._held[-1]

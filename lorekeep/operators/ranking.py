@@ -81,10 +81,11 @@ def rank(records: DataFrame, ids: Sequence[str], what: Ranking, votes: DataFrame
     lexical = F.lit(0.0)  # without terms, whatever the texts are
     if what.lexical and (terms := query_terms(what.lexical.query)):
         if lexicon is not None:
-            df, stats = df.join(lexicon.counts(terms), list(ids), "left"), lexicon.stats(terms)
+            counts, stats = lexicon.counts(terms), lexicon.stats(terms)
+            df = df.join(counts, list(ids), "left") if set(kept) - set(ids) else counts
         else:
             # texts are cut once: the counts are read again for the scores, and the texts are not
-            df = with_counts(spread(df).withColumn("__text", F.col(what.lexical.field) if text is None else text), "__text", terms).drop("__text")
+            df = with_counts(spread(df, ids).withColumn("__text", F.col(what.lexical.field) if text is None else text), "__text", terms).drop("__text")
             df = staged(df, "counts")
             stats = corpus_stats(df, len(terms))
         lexical = bm25(stats)

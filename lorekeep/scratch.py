@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _made: list[str] = []
@@ -54,19 +55,36 @@ def delete(spark: SparkSession, path: str) -> None:
 
 #: Up to so many bytes a table of fewer files than cores is dealt over all cores before it is worked on.
 SPREAD_BYTES = 256 << 20
+#: Bytes of a larger table that are worth a task, where it is dealt out by keys.
+DEALT_BYTES = 32 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """A small table of few files over all cores: a row group cannot be split, so a scan of one is one task.
 
-    Tables of more files or bytes, and rows that come from elsewhere, stay where they are.
+    With ``keys``, which tell its rows apart, a larger table is dealt out by them if its row groups leave cores
+    idle. Rows that come from elsewhere, and other tables of more files or bytes, stay where they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SPREAD_BYTES or not 0 < len(df.inputFiles()) < cores:
+    n_bytes = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if n_bytes > SPREAD_BYTES:
+        return df.repartition(max(2 * cores, n_bytes // DEALT_BYTES), *keys) if keys and _uneven(df, cores) else df
+    if not 0 < len(df.inputFiles()) < cores:
         return df
     return df.repartition(cores)
 
 
+def _uneven(df: DataFrame, cores: int) -> bool:
+    """Whether the largest task of a scan has over 1.5 times a core's share of its rows. They are counted without reading a column, so from footers."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    rows = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    return max(rows, default=0) * cores > 1.5 * sum(rows)
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what was staged within. Results that are still to be read must be written before."""

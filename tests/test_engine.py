@@ -160,6 +160,42 @@ def test_recall_of_bm25_counts_texts_once(spark, sf_dir, monkeypatch):
     assert got[0] == got[1] and len(made) == 1
 
 
+def test_large_row_groups_are_dealt_over_all_cores(spark, tmp_path, monkeypatch):
+    import lorekeep.operators.lexicon as lexicon
+    import lorekeep.operators.ranking as ranking
+    from lorekeep import scratch
+
+    monkeypatch.setattr(scratch, "SPREAD_BYTES", 0)  # every table counts as large
+    monkeypatch.setattr(scratch, "DEALT_BYTES", 1 << 20)
+    tasks, stage = [], lexicon.staged
+
+    def held(df, name):
+        tasks.append(df.select(F.spark_partition_id()).distinct().count())
+        return stage(df, name)
+
+    monkeypatch.setattr(lexicon, "staged", held)
+    monkeypatch.setattr(ranking, "staged", held)
+    rng = random.Random(3)
+    rows = [(i or None, " ".join(rng.choice("moss fern reed".split()) for _ in range(1 + i % 7))) for i in range(400)]
+    made = spark.createDataFrame(rows, "id long, text string")
+    what = Ranking(lexical=Lexical("text", "fern moss", 50))
+    best = lambda df, counts: [(r["id"], round(r["score"], 12)) for r in rank(df, ["id"], what, lexicon=counts).collect()]
+    want = best(made, None)  # not a scan: rows stay where they are
+    for files, least, most in ((1, 8, 8), (2, 8, 8), (4, 1, 4)):  # of 4 cores; where files are enough for all of them, rows stay, too
+        made.repartition(files).write.parquet(path := f"{tmp_path}/{files}")
+        df = spark.read.parquet(path)
+        tasks.clear()
+        assert best(df, None) == best(df.select("id"), Lexicon(df, ["id"], "text")) == want
+        assert len(tasks) == 2 and all(least <= n <= most for n in tasks), (files, tasks)
+
+
+def test_counts_of_a_record_without_id(spark):
+    df = spark.createDataFrame([(None, "moss moss"), (1, "moss fern"), (2, "fern")], "id long, text string")
+    what = Ranking(lexical=Lexical("text", "moss"))
+    got = [[(r["id"], r["score"]) for r in rank(df.select("id", *more), ["id"], what, lexicon=x).collect()] for more, x in ((["text"], None), ([], Lexicon(df, ["id"], "text")))]
+    assert got[0] == got[1] and got[0][0][0] is None and got[0][0][1] > 0
+
+
 def test_a_query_without_terms_reads_no_text(spark):
     df = spark.range(30).selectExpr("id", "cast(raise_error('text read') as string) AS text", "array(cast(id AS double), 1D) AS embedding", "id AS created_at")
     for counts in (None, Lexicon(df, ["id"], "text")):
